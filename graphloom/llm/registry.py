@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality_classifier, quality_rules, simhash
+from . import chat_format, decontaminate, html_extract, quality_classifier, quality_rules, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,21 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"))
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], turns.schema)
+    return chat_format.read_chats(chat_format.format_chats(turns.unionByName(more)))
+
+
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality_rules.judge(docs, quality_rules.fit(docs, _table(spark, sf_dir, "labels"))).drop("line_labels")
@@ -37,9 +52,59 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, quality_classifier.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+#: \A-Z is lower-cased by translate: lower() would change other letters too
+_FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _term_hits(terms) -> str:
+    """Sum over terms of their bounded occurrences; a mark is doubled so that neighbours share it."""
+    return " + ".join(rf"len(regexp_extract_all(m, '[^\p{{L}}\p{{N}}]{t}[^\p{{L}}\p{{N}}]'))" for t in terms)
+
+
+def _term_seen(terms, value) -> str:
+    return " + ".join(rf"CASE WHEN regexp_matches(m, '[^\p{{L}}\p{{N}}]{t}[^\p{{L}}\p{{N}}]') THEN {value(t)} ELSE 0 END" for t in terms)
+
+
+OP2_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
+a AS (SELECT page_id, regexp_replace({_FOLD.format("url")}, '([^\\p{{L}}\\p{{N}}])', '\\1\\1', 'g') AS m0,
+  CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM p),
+b AS (SELECT page_id, ' ' || m0 || ' ' AS m, {_FOLD.format("regexp_extract(rest, '^[^/?#]*')")} AS host,
+  regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM a),
+c AS (SELECT *,
+  CASE WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND prefix(path, '/en/7') THEN 'example.com/en/7'
+       WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND prefix(path, '/de/8') THEN 'example.net/de/8'
+       WHEN (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/en/') THEN 'com/en/'
+       WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/de/') THEN 'net/de/'
+       WHEN (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/es/') THEN 'org/es/' END AS rule,
+  CAST({_term_hits(url_filter.STRICT)} AS BIGINT) AS n_strict, CAST({_term_hits(url_filter.SOFT)} AS BIGINT) AS n_soft,
+  CAST({_term_seen(url_filter.SOFT, lambda t: 1)} AS BIGINT) AS n_distinct_soft,
+  CAST({_term_seen({**url_filter.STRICT, **url_filter.SOFT}, {**url_filter.STRICT, **url_filter.SOFT}.get)} AS DOUBLE) AS weight FROM b)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+       WHEN n_strict > 0 OR n_distinct_soft >= 2 THEN 'block' ELSE 'allow' END AS verdict,
+  n_strict, n_soft, n_distinct_soft, weight FROM c"""
+
+OP4_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+s AS (SELECT *, length(text) + length(regexp_replace(text, '[^\\#<:]', '', 'g')) AS body,
+  CASE role WHEN 'system' THEN 12 WHEN 'user' THEN 10 WHEN 'assistant' THEN 15 ELSE 11 + length(role) + length(regexp_replace(role, '[^\\#<:]', '', 'g')) END AS head FROM t),
+g AS (SELECT conv_id, count(*) AS n_turns,
+  string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+  coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS learnt,
+  CAST(sum(head + body + 8) AS BIGINT) AS formatted_chars,
+  string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END, '' ORDER BY turn, role, text) AS roles FROM s GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(learnt) AS BIGINT) AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars,
+  regexp_full_match(roles, 's?(ua)*u?') AND roles NOT IN ('') AS valid FROM g"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
+        "op2_url_filter": op2_url_filter,
+        "op4_chat_format": op4_chat_format,
+        "op5_html_extract": op5_html_extract,
         "op6_quality_rules": op6_quality_rules,
         "op7_simhash": op7_simhash,
         "op9_quality_classifier": op9_quality_classifier,
@@ -47,4 +112,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_filter": OP2_SQL, "op4_chat_format": OP4_SQL}
