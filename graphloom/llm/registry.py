@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, quality_classifier, quality_rules, simhash, url_filter
+from . import chat_format, decontaminate, html_extract, line_dedup, quality_classifier, quality_rules, sentencepiece_codec, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,17 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def piece_vocabulary() -> sentencepiece_codec.Vocabulary:
+    return sentencepiece_codec.Vocabulary.load(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = piece_vocabulary()
+    encoded = sentencepiece_codec.encode(_table(spark, sf_dir, "documents"), vocabulary, keep_text=True)
+    decoded = sentencepiece_codec.decode(encoded, vocabulary)
+    return decoded.select("doc_id", "n_tokens", "ids_crc32", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "\\### Assistant: </turn> ok"
@@ -52,7 +64,12 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, quality_classifier.fit(docs, _table(spark, sf_dir, "labels")))
 
 
-#: \A-Z is lower-cased by translate: lower() would change other letters too
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.drop_lines(_table(spark, sf_dir, "documents"), counts=True)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
+#: A-Z is lower-cased by translate: lower() would change other letters too
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -103,11 +120,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_url_filter": op2_url_filter,
+        "op3_sentencepiece": op3_sentencepiece,
         "op4_chat_format": op4_chat_format,
         "op5_html_extract": op5_html_extract,
         "op6_quality_rules": op6_quality_rules,
         "op7_simhash": op7_simhash,
         "op9_quality_classifier": op9_quality_classifier,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
