@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, line_dedup, quality_classifier, quality_rules, sentencepiece_codec, simhash, url_filter
+from . import chat_format, decontaminate, html_extract, line_dedup, quality_classifier, quality_rules, sentencepiece_codec, simhash, token_files, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit(docs, _table(spark, sf_dir, "labels"))).drop("line_labels")
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.new_path(spark)
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        token_files.write_tokens(_table(spark, sf_dir, "documents"), path, f.read())
+    return token_files.read_tokens(spark, path)
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality_classifier.score(docs, quality_classifier.fit(docs, _table(spark, sf_dir, "labels")))
@@ -125,6 +132,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_html_extract": op5_html_extract,
         "op6_quality_rules": op6_quality_rules,
         "op7_simhash": op7_simhash,
+        "op8_token_files": op8_token_files,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_line_dedup": op10_line_dedup,
     }
