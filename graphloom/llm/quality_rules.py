@@ -230,12 +230,13 @@ def judge(docs: DataFrame, weights: np.ndarray, min_words: int = MIN_WORDS, min_
     """
     keep = keep or ["doc_id"]
     weights = np.asarray(weights)
+    text = f"k{keep.index('text')}" if "text" in keep else "text"  # sent once
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                x = Lines(part.column("text"))
+            for part in slices(batch, text):
+                x = Lines(part.column(text))
                 bad = decode(x, weights)
                 content = sums_by(np.where(bad == 0, x.words, 0), x.first)
                 failed = (x.counts < min_words) | (100 * x.repeat_words > 50 * x.counts)
@@ -245,13 +246,14 @@ def judge(docs: DataFrame, weights: np.ndarray, min_words: int = MIN_WORDS, min_
                 yield pa.RecordBatch.from_arrays([part.column(f"k{i}") for i in range(len(keep))] + [pa.array(c) for c in columns], [*(f"k{i}" for i in range(len(keep))), *names])
 
     types = [docs.schema[c].dataType.simpleString() for c in keep]
-    base = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col("text").alias("text"))
+    base = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), *([] if "text" in keep else ["text"]))
     found = base.mapInArrow(run, ", ".join(f"k{i} {t}" for i, t in enumerate(types)) + ", " + SCHEMA)
     return found.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *names)
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns as they are, even if they are named like ``SCHEMA``'s."""
-    packed = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    kept = judge(packed, fit(docs, labels), keep=["row"]).where("kept")
-    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    plain = [f"c{i}" if c in names else c for i, c in enumerate(docs.columns)]
+    kept = judge(docs.toDF(*plain), fit(docs, labels), keep=plain).where("kept")
+    return kept.select(*plain).toDF(*docs.columns)

@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from .textbytes import text_bytes
 
 SPACE = "▁"
-SLICE_CHARS = 6 << 20
+SLICE_CHARS = 3 << 20
 #: Distinct chunks that a task remembers between slices
-REMEMBER = 400_000
+REMEMBER = 200_000
 _CHUNK = re.compile(" *[^ ]+| +")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -85,7 +85,9 @@ class Encoder:
         self.keys, self.ids, self.scores = keys[order], own[order].astype(np.int32), v.scores[own[order]]
         self.lengths = sorted(by_length, reverse=True)
         self.byte_score = float(v.scores[v.usable].min()) - 10.0
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}  # ids of a chunk as little-endian 32-bit integers
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[_place(self.keys)] = True
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each text's begin."""
@@ -100,9 +102,9 @@ class Encoder:
         new = [c for c in dict.fromkeys(chunks) if c not in self.known]
         self._segment(new)
         parts = [self.known[c] for c in chunks]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         total = np.concatenate([[0], np.cumsum(sizes)])
-        return np.concatenate(parts) if parts else np.zeros(0, np.int32), total[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+        return np.frombuffer(b"".join(parts), "<i4"), total[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
 
     def _segment(self, chunks: list[str]) -> None:
         by_length: dict[int, list[str]] = {}
@@ -111,7 +113,7 @@ class Encoder:
             room = n if n <= 32 else -(-n // 8) * 8 if n <= 128 else 1 << (n - 1).bit_length()
             by_length.setdefault(room, []).append(c)
         for room, group in by_length.items():
-            step = max(1, (1 << 20) // room)
+            step = max(1, (1 << 18) // room)
             for at in range(0, len(group), step):
                 self._viterbi(group[at : at + step], room)
 
@@ -135,14 +137,16 @@ class Encoder:
                     continue
                 b = e - length
                 key = (sums[:, e] - sums[:, b]) * undo[b] + _salt(length)
-                at = np.minimum(np.searchsorted(self.keys, key), last)
-                hit = np.flatnonzero(self.keys[at] == key)
+                hit = np.flatnonzero(self.maybe[_place(key)])  # spares most of the searches
+                at = np.minimum(np.searchsorted(self.keys, key[hit]), last)
+                real = self.keys[at] == key[hit]
+                hit, at = hit[real], at[real]
                 if not len(hit):
                     continue
-                score = best[b, hit] + self.scores[at[hit]]
+                score = best[b, hit] + self.scores[at]
                 better = score > top[hit]
                 won = hit[better]
-                top[won], back[e, won], piece[e, won] = score[better], length, self.ids[at[won]]
+                top[won], back[e, won], piece[e, won] = score[better], length, self.ids[at[better]]
             best[e] = top
         # walk back, all chunks together
         where, rows = size.copy(), np.arange(len(group))
@@ -161,9 +165,14 @@ class Encoder:
             flat = np.repeat(got, times)
             flat[flat < 0] = self.v.byte_ids[np.frombuffer(b"".join(t for t, g in zip(texts, got) if g < 0), np.uint8)]
             row, got = np.repeat(row, times), flat
-        first = np.searchsorted(row, np.arange(len(group) + 1))
-        for i, c in enumerate(group):
-            self.known[c] = got[first[i] : first[i + 1]].astype(np.int32)
+        first = (4 * np.searchsorted(row, np.arange(len(group) + 1))).tolist()
+        raw = got.astype("<i4").tobytes()
+        for c, a, b in zip(group, first, first[1:]):
+            self.known[c] = raw[a:b]
+
+
+def _place(keys: np.ndarray) -> np.ndarray:
+    return ((keys * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(44)).astype(np.int64)
 
 
 def _prefix_sums(codes: np.ndarray) -> np.ndarray:
