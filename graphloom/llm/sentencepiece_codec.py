@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from .textbytes import text_bytes
 
 SPACE = "▁"
-SLICE_CHARS = 3 << 20
+SLICE_CHARS = 2 << 20
 #: Distinct chunks that a task remembers between slices
-REMEMBER = 200_000
+REMEMBER = 100_000
 _CHUNK = re.compile(" *[^ ]+| +")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

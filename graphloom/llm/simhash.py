@@ -38,6 +38,8 @@ SEED = 42
 MAX_BITS = 3
 GROUP_LIMIT = 20_000
 RUN_ROWS = 200_000
+#: Ids of kept rows are broadcast up to so many; beyond, they are joined by a shuffle
+BROADCAST_IDS = 1_000_000
 
 
 def text_fingerprints(column: pa.Array, words: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
@@ -238,8 +240,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of their component, one for each component."""
+    """The rows of ``docs`` whose id is the least of their component, one for each component.
+
+    Ids name documents: of rows that share an id one stays. Of rows without an
+    id one stays for each text.
+    """
     found = near_duplicates(docs, **options)
     keep = written(found.groupBy("component").count().select(F.col("component").alias("doc_id")), "kept")
+    if keep.count() <= BROADCAST_IDS:
+        keep = F.broadcast(keep)
     kept = docs.join(keep.where("doc_id is not null"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null").dropDuplicates(["text"])).select(docs.columns)
