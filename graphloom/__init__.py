@@ -1,0 +1 @@
+"""Typed property graphs from tables and documents, on Spark DataFrames."""
