@@ -34,7 +34,7 @@ def slug(c: str | Column) -> Column:
 def split_list(c: str | Column, separators: str = ";") -> Column:
     """Trimmed parts that are not blank; any of the separators divides."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.filter(F.transform(F.split(F.translate(c, separators[1:], separators[0] * len(separators[1:])), separators[0]), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.translate(c, separators[1:], separators[0] * len(separators[1:])), separators[0]), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def joined_list(c: str | Column, separator: str = ";") -> Column:

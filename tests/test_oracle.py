@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not DATA.exists(), reason="test tables are not h
 
 
 def plain(v):
-    if v is None or v != v or type(v).__name__ in ("NAType", "NaTType"):
+    if v is None or type(v).__name__ in ("NAType", "NaTType") or v != v:
         return None
     if hasattr(v, "item"):
         v = v.item()
