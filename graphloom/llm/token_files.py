@@ -22,6 +22,8 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,11 @@ BLOCK_IDS = 2048
 ROW_IDS = 8 * BLOCK_IDS
 LANES = 4096
 END_ID = 2
+#: Runs of text that a worker remembers the ids of, about 200 MB
+_REMEMBER = 1 << 20
+#: Runs of text that are looked up together, or those of one text
+_RUNS = 1 << 17
+_MARK = "\x1f"
 _TABLE = 1024
 _STEP = 16
 _LIMIT = 1 << 13
@@ -193,19 +200,84 @@ def decode_blocks(payloads: list[bytes], sizes: np.ndarray) -> np.ndarray:
 
 
 class TextEncoder:
-    """Ids of whole texts from a tokenizer file, with an end id after each."""
+    """Ids of whole texts from a tokenizer file, with an end id after each.
+
+    The tokenizers library encodes every run of characters between ASCII white
+    space; runs that come again are looked up. That gives the ids of the whole
+    text where white space always parts words and has no ids of its own, which
+    a probe finds out. Any other tokenizer gets the whole texts.
+    """
 
     def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.seen: dict[bytes, bytes] = {}
+        mark = self._ids([_MARK])[0]
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.parted = self.mark is not None and self._parted()
+
+    def _parted(self) -> bool:
+        """Whether each kind of ASCII white space, before, after and between runs of any kind, changes no id."""
+        runs = ["a", "Ab", "word", "7", "42", ".", "!?", "'s", "n't", "\u00e9", "e\u0301", "\u0301x", "\u00df\u03a3", "\u4e2d", "\U0001f600", "\u00a0b", "<|x|>", "\x1c"]
+        alone = self._ids(runs)
+        for gap in (" ", "\t", "\n", "\x0b", "\x0c", "\r", "  \n"):
+            for order in (range(len(runs)), range(len(runs) - 1, -1, -1)):
+                if self._ids([gap + gap.join(runs[i] for i in order) + gap])[0] != [x for i in order for x in alone[i]]:
+                    return False
+        return True
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, runs: list[bytes]) -> None:
+        """Looks up new runs: many in one text, with a mark between that no other run gives."""
+        odd = [r for r in runs if _MARK.encode() in r]
+        runs = [r for r in runs if _MARK.encode() not in r]
+        for r, ids in zip(odd, self._ids([r.decode() for r in odd])):
+            self.seen[r] = np.array(ids, np.uint32).tobytes()
+        for at in range(0, len(runs), 4096):
+            part = runs[at : at + 4096]
+            ids = np.array(self._ids([f" {_MARK} ".encode().join(part).decode()])[0], np.uint32)
+            cuts = np.concatenate([[-1], np.flatnonzero(ids == self.mark), [len(ids)]])
+            if len(cuts) != len(part) + 1:
+                raise ValueError("the tokenizer gives the mark's id for other text")
+            flat = ids.tobytes()
+            self.seen.update((r, flat[4 * i + 4 : 4 * j]) for r, i, j in zip(part, cuts[:-1].tolist(), cuts[1:].tolist()))
+
+    def _look_up(self, held: list[list[bytes]], end: bytes) -> list[bytes]:
+        """Ids of each text, given as its runs."""
+        new = [r for r in dict.fromkeys(chain.from_iterable(held)) if r not in self.seen]
+        if len(self.seen) + len(new) > _REMEMBER:
+            self.seen.clear()
+            new = list(dict.fromkeys(chain.from_iterable(held)))
+        self._learn(new)
+        return [b"".join(map(self.seen.__getitem__, runs)) + end for runs in held]
 
     def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, ``end_id`` after each, and how many each has."""
-        found = [[*x.ids, end_id] for x in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        n = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for ids in found for i in ids), np.uint32, int(n.sum())), n
+        end = np.array([end_id], np.uint32).tobytes()
+        if not self.parted:
+            found = [np.array(ids, np.uint32).tobytes() + end for ids in self._ids([t or "" for t in texts])]
+        else:
+            found = []
+            held, have = [], 0
+            for t in texts:
+                held.append((t or "").encode().split())
+                have += len(held[-1])
+                if have > _RUNS:
+                    found += self._look_up(held, end)
+                    held, have = [], 0
+            found += self._look_up(held, end)
+        n = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return np.frombuffer(b"".join(found), np.uint32), n
+
+
+@lru_cache(maxsize=1)
+def _encoder(tokenizer_json: str) -> TextEncoder:
+    """One for the tasks of a worker, which so share what it remembers."""
+    return TextEncoder(tokenizer_json)
 
 
 _FILE = "shard int, local_start bigint, n_ids bigint, docs array<struct<doc_id:{},n:bigint>>, blocks array<struct<n:int,crc:bigint,data:binary>>"
@@ -224,7 +296,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, shard, start = TextEncoder(sent.value), TaskContext.get().partitionId(), 0
+        encoder, shard, start = _encoder(sent.value), TaskContext.get().partitionId(), 0
         names, held, counts, have = [], [], [], 0
 
         def flush():
