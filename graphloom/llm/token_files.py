@@ -44,75 +44,94 @@ _RUNS = 1 << 17
 _MARK = "\x1f"
 _TABLE = 1024
 _STEP = 16
-_LIMIT = 1 << 13
+_LIMIT = 3500
 _LOW32 = np.uint64(0xFFFFFFFF)
-_U = [np.uint64(i) for i in range(65)]
+_U8, _U32 = np.uint64(8), np.uint64(32)
 
 
 class _Range:
-    """One carry-less range coder for each lane; ``data`` None encodes, else decodes its bytes."""
+    """One carry-less range coder of 64 bits for each lane; ``data`` None encodes, else decodes its words.
+
+    A lane puts out the upper 32 bits once they are settled. Where its range
+    gets below 32 bits before that, the range is cut at the next multiple of
+    2^32, which settles them. So a symbol moves a lane by one word at most.
+    """
 
     def __init__(self, lanes: int, room: int, data: np.ndarray | None = None):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFF, np.uint64)
-        self.at = np.zeros(lanes, np.int64)
-        self.room, self.reading = room, data is not None
-        self.bytes = data.reshape(-1) if self.reading else np.zeros(lanes * room, np.uint8)
+        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
+        self.reading = data is not None
+        self.words = data.reshape(-1) if self.reading else np.zeros(lanes * room, np.uint32)
         self.base = np.arange(lanes) * room
+        self.at = self.base.copy()
         if self.reading:
-            self.value = np.zeros(lanes, np.uint64)
-            for _ in range(4):
-                self.value = self.value << _U[8] | self.bytes[self.base + self.at]
-                self.at += 1
-
-    def peek(self, lanes: np.ndarray, total: np.ndarray) -> np.ndarray:
-        part = self.range[lanes] // total
-        return np.minimum(((self.value[lanes] - self.low[lanes]) & _LOW32) // part, total - _U[1])
-
-    def code(self, lanes: np.ndarray, below: np.ndarray, size: np.ndarray, total) -> None:
-        part = self.range[lanes] // total
-        low = (self.low[lanes] + part * below) & _LOW32
-        span = part * size
-        todo = np.arange(len(lanes))
-        while True:
-            a, b = low[todo], span[todo]
-            settled = ((a ^ (a + b)) & _LOW32) < (1 << 24)
-            settled &= a + b <= _LOW32
-            short = ~settled & (b < (1 << 16))
-            go = settled | short
-            if not go.any():
-                break
-            if short.any():
-                at = todo[short]
-                span[at] = (np.uint64(1 << 32) - low[at]) & np.uint64(0xFFFF)
-            todo = todo[go]
-            own = lanes[todo]
-            place = self.base[own] + self.at[own]
+            self.value = self.words[self.at].astype(np.uint64) << _U32 | self.words[self.at + 1]
+            self.at += 2
+
+    def share(self, lanes, total: np.ndarray) -> np.ndarray:
+        """Range of one count of ``total``."""
+        return self.range[lanes] // total
+
+    def peek(self, lanes, share: np.ndarray, total: np.ndarray) -> np.ndarray:
+        return np.minimum((self.value[lanes] - self.low[lanes]) // share, total - np.uint64(1))
+
+    def code(self, lanes, below: np.ndarray, size: np.ndarray, share: np.ndarray) -> None:
+        """Narrows the range of ``lanes`` (a slice or indexes) to ``size`` counts from ``below``."""
+        low, span = self.low[lanes] + share * below, share * size
+        go = np.flatnonzero(((low ^ (low + span)) <= _LOW32) | (span <= _LOW32))
+        if len(go):
+            l, s = low[go], span[go]
+            short = (l ^ (l + s)) > _LOW32
+            s[short] = (~l[short] + np.uint64(1)) & _LOW32
+            own = go if isinstance(lanes, slice) else lanes[go]
+            place = self.at[own]
             if self.reading:
-                self.value[own] = (self.value[own] << _U[8] | self.bytes[place]) & _LOW32
+                self.value[own] = self.value[own] << _U32 | self.words.take(place, mode="clip")  # a damaged lane can read on
             else:
-                self.bytes[place] = (low[todo] >> _U[24]).astype(np.uint8)
-            self.at[own] += 1
-            low[todo] = low[todo] << _U[8] & _LOW32
-            span[todo] = span[todo] << _U[8]
+                self.words[place] = l >> _U32
+            self.at[own] = place + 1
+            low[go], span[go] = l << _U32, s << _U32
         self.low[lanes], self.range[lanes] = low, span
 
-    def finish(self) -> None:
-        for _ in range(4):
-            self.bytes[self.base + self.at] = (self.low >> _U[24]).astype(np.uint8)
-            self.low = self.low << _U[8] & _LOW32
+    def finish(self) -> list[bytes]:
+        """The bytes of each lane."""
+        for part in (self.low >> _U32, self.low & _LOW32):
+            self.words[self.at] = part
             self.at += 1
+        return [self.words[i:j].astype("<u4").tobytes() for i, j in zip(self.base, self.at)]
+
+
+class _Counts:
+    """Adaptive counts of a few symbols in each of many contexts, kept as sums of the counts before each symbol."""
+
+    def __init__(self, contexts: int, symbols: int):
+        self.upto = np.tile(np.arange(symbols + 1, dtype=np.uint16), (contexts, 1))
+        self.whole = self.upto.view(f"V{2 * symbols + 2}").reshape(-1)  # a context as one value, which is quicker to put
+        self.add = (np.arange(symbols + 1) > np.arange(symbols)[:, None]) * np.uint16(_STEP)
+
+    def learn(self, context: np.ndarray, seen: np.ndarray, symbol: np.ndarray) -> None:
+        """Adds ``symbol`` to each context, whose sums are ``seen``; sums over the limit are halved."""
+        new = seen + self.add.take(symbol, axis=0)
+        full = np.flatnonzero(new[:, -1] > _LIMIT)
+        if len(full):
+            new[full, 1:] = ((np.diff(new[full].astype(np.int64), axis=1) + 1) >> 1).cumsum(axis=1)
+        self.whole[context] = new.view(self.whole.dtype).reshape(-1)
 
 
-def _symbol(coder: _Range, lanes: np.ndarray, counts: np.ndarray, symbol: np.ndarray | None) -> np.ndarray:
-    """Codes a symbol of each lane by its row of ``counts``, or reads it where ``symbol`` is None."""
-    upto = np.cumsum(counts, axis=1, dtype=np.uint64)
-    total = upto[:, -1]
-    rows = np.arange(len(lanes))
-    if symbol is None:
-        symbol = (upto <= coder.peek(lanes, total)[:, None]).sum(axis=1)
-    size = counts[rows, symbol].astype(np.uint64)
-    coder.code(lanes, upto[rows, symbol] - size, size, total)
-    return symbol
+def _bounds(upto: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sum before each row's symbol, and the symbol's own count."""
+    at = np.arange(len(upto)) * upto.shape[1] + symbol
+    flat = upto.reshape(-1)
+    below = flat.take(at).astype(np.uint64)
+    return below, flat.take(at + 1) - below
+
+
+def _find(upto: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The symbol of 16 in whose counts each value falls."""
+    flat, at = upto.reshape(-1), np.arange(len(upto)) * upto.shape[1]
+    first = at.copy()
+    for step in (8, 4, 2, 1):
+        at += step * (flat.take(at + step) <= value)
+    return at - first
 
 
 class _Model:
@@ -120,36 +139,55 @@ class _Model:
 
     def __init__(self, lanes: int):
         self.after1, self.after2 = np.zeros(lanes * _TABLE, np.uint32), np.zeros(lanes * _TABLE, np.uint32)
-        self.which, self.any_which = np.ones((lanes * 16, 3), np.uint32), np.ones((lanes, 3), np.uint32)
-        self.high, self.second = np.ones((lanes, 16), np.uint32), np.ones((lanes * 16, 16), np.uint32)
+        self.which, self.any_which = _Counts(lanes * 16, 3), _Counts(lanes, 3)
+        self.high, self.second = _Counts(lanes, 16), _Counts(lanes * 16, 16)
         self.before1, self.before2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+        self.lanes = np.arange(lanes)
 
     def step(self, coder: _Range, m: int, ids: np.ndarray | None) -> np.ndarray:
         """Codes one id of each of the first m lanes; ids None reads them."""
-        lanes = np.arange(m)
+        lanes, some = self.lanes[:m], slice(0, m)
         b1, b2 = self.before1[:m], self.before2[:m]
         slot1 = lanes * _TABLE + ((b1 * np.uint32(0x9E3779B1)) >> np.uint32(22))
         slot2 = lanes * _TABLE + (((b1 * np.uint32(0x85EBCA6B)) ^ (b2 * np.uint32(0xC2B2AE35))) >> np.uint32(22))
-        e1, e2 = self.after1[slot1], self.after2[slot2]
+        e1, e2 = self.after1.take(slot1), self.after2.take(slot2)
         p1, p2 = e1 >> np.uint32(2), e2 >> np.uint32(2)
         known = lanes * 16 + ((e2 & np.uint32(3)) * np.uint32(4) + (e1 & np.uint32(3)))
-        which = None if ids is None else np.where(ids == p2, 0, np.where(ids == p1, 1, 2))
-        which = _symbol(coder, lanes, 3 * self.which[known] + self.any_which[:m], which)
-        _learn(self.which, known, which)
-        _learn(self.any_which, lanes, which)
-        out = np.where(which == 0, p2, p1) if ids is None else ids
+        seen, any_seen = self.which.upto.take(known, axis=0), self.any_which.upto[:m]
+        mixed = seen * np.uint16(3) + any_seen
+        total = mixed[:, 3].astype(np.uint64)
+        share = coder.share(some, total)
+        if ids is None:
+            value = coder.peek(some, share, total)
+            which = (mixed[:, 1] <= value).astype(np.int64) + (mixed[:, 2] <= value)
+            out = np.where(which == 0, p2, p1)
+        else:
+            which, out = np.where(ids == p2, 0, np.where(ids == p1, 1, 2)), ids.astype(np.uint32)
+        coder.code(some, *_bounds(mixed, which), share)
+        self.which.learn(known, seen, which)
+        self.any_which.learn(lanes, any_seen, which)
         new = np.flatnonzero(which == 2)
         if len(new):
             x = None if ids is None else ids[new].astype(np.int64)
-            high = _symbol(coder, new, self.high[new], None if x is None else x >> 12)
-            second = _symbol(coder, new, self.second[new * 16 + high], None if x is None else x >> 8 & 15)
-            _learn(self.high, new, high)
-            _learn(self.second, new * 16 + high, second)
-            low = coder.peek(new, np.full(len(new), 256, np.uint64)).astype(np.int64) if x is None else x & 255
-            coder.code(new, low.astype(np.uint64), np.ones(len(new), np.uint64), _U[0] + np.uint64(256))
+            upto = self.high.upto.take(new, axis=0)
+            total = upto[:, 16].astype(np.uint64)
+            share = coder.share(new, total)
+            high = _find(upto, coder.peek(new, share, total)) if x is None else x >> 12
+            coder.code(new, *_bounds(upto, high), share)
+            self.high.learn(new, upto, high)
+            # the second half byte and, inside its counts, the low byte
+            context = new * 16 + high
+            upto = self.second.upto.take(context, axis=0)
+            total = upto[:, 16].astype(np.uint64) << _U8
+            share = coder.share(new, total)
+            value = coder.peek(new, share, total) if x is None else None
+            second = _find(upto, value >> _U8) if x is None else x >> 8 & 15
+            below, size = _bounds(upto, second)
+            low = (value - (below << _U8)) // size if x is None else (x & 255).astype(np.uint64)
+            coder.code(new, (below << _U8) + low * size, size, share)
+            self.second.learn(context, upto, second)
             if x is None:
-                out[new] = (high << 12 | second << 8 | low).astype(np.uint32)
-        out = out.astype(np.uint32)
+                out[new] = high << 12 | second << 8 | low.astype(np.int64)
         for table, slot, entry in ((self.after1, slot1, e1), (self.after2, slot2, e2)):
             right = entry >> np.uint32(2) == out
             table[slot] = np.where(right, np.minimum(entry + np.uint32(1), entry | np.uint32(3)), out << np.uint32(2))
@@ -157,13 +195,6 @@ class _Model:
         return out
 
 
-def _learn(counts: np.ndarray, rows: np.ndarray, symbol: np.ndarray) -> None:
-    counts[rows, symbol] += np.uint32(_STEP)
-    full = rows[counts[rows, symbol] > _LIMIT // 4]
-    if len(full):
-        counts[full] = (counts[full] + np.uint32(1)) >> np.uint32(1)
-
-
 def encode_blocks(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     """Payload of each block; block i has the next ``sizes[i]`` of the ids (below 65,536)."""
     order = np.argsort(-sizes, kind="stable")
@@ -172,13 +203,12 @@ def encode_blocks(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     for at in range(0, len(order), LANES):
         lanes = order[at : at + LANES]
         n = sizes[lanes]
-        coder, model = _Range(len(lanes), 4 * int(n[0]) + 64), _Model(len(lanes))
+        coder, model = _Range(len(lanes), 2 * int(n[0]) + 16), _Model(len(lanes))
         for t in range(int(n[0])):
             m = int(np.searchsorted(-n, -t, "left"))
             model.step(coder, m, ids[begin[lanes[:m]] + t].astype(np.uint32))
-        coder.finish()
-        for i, lane in enumerate(lanes.tolist()):
-            out[lane] = coder.bytes[coder.base[i] : coder.base[i] + coder.at[i]].tobytes()
+        for lane, data in zip(lanes.tolist(), coder.finish()):
+            out[lane] = data
     return out
 
 
@@ -190,9 +220,9 @@ def decode_blocks(payloads: list[bytes], sizes: np.ndarray) -> np.ndarray:
     for at in range(0, len(order), LANES):
         lanes = order[at : at + LANES]
         n = sizes[lanes]
-        room = max(len(payloads[i]) for i in lanes.tolist()) + 8
-        data = np.frombuffer(b"".join(payloads[i].ljust(room, b"\0") for i in lanes.tolist()), np.uint8)
-        coder, model = _Range(len(lanes), room, data), _Model(len(lanes))
+        room = max(len(payloads[i]) for i in lanes.tolist()) + 16 & ~3
+        data = np.frombuffer(b"".join(payloads[i].ljust(room, b"\0") for i in lanes.tolist()), "<u4")
+        coder, model = _Range(len(lanes), room // 4, data), _Model(len(lanes))
         for t in range(int(n[0])):
             m = int(np.searchsorted(-n, -t, "left"))
             out[begin[lanes[:m]] + t] = model.step(coder, m, None)
