@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -326,6 +327,36 @@ def test_token_files(spark, docs, odd, tmp_path):
     assert token_files.read_tokens(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_looked_up_runs_give_the_ids_of_whole_texts(monkeypatch):
+    source = open(public_tokenizers.path("word_bpe_49k.json")).read()
+    pick = random.Random(5)
+    parts = ["don't", "CAN'T", "'s", "x.", "...", "!?", "12345", "\u00bd", "e\u0301", "\u0301", "\u03a3\u03a3", "\u0130", "\u6f22\u5b57", "\U0001f600", "\ufeffa", "\x00", "\x1c", "\x1f", "a\x1fb", "<|endoftext|>", "<|x|>"]
+    gaps = [" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x0c", "", "\u00a0", "\u3000", "\x85", "\u200b"]
+    texts = [None, "", " \n", *("".join(pick.choice(parts) + pick.choice(gaps) for _ in range(30)) for _ in range(300))]
+    encoder = token_files.TextEncoder(source)
+    assert encoder.parted
+    expected = [[*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    for remember, runs in ((1 << 20, 1 << 17), (40, 50)):  # the second forgets all the time
+        monkeypatch.setattr(token_files, "_REMEMBER", remember)
+        monkeypatch.setattr(token_files, "_RUNS", runs)
+        ids, n = encoder.encode(texts, 2)
+        assert n.tolist() == list(map(len, expected)) and ids.tolist() == [i for e in expected for i in e]
+    keeps_space = json.loads(source)
+    keeps_space["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    whole = token_files.TextEncoder(json.dumps(keeps_space))
+    assert not whole.parted
+    ids, n = whole.encode(["a  b c", None], 2)
+    assert ids.tolist() == [*whole.tokenizer.encode("a  b c", add_special_tokens=False).ids, 2, 2]
+
+
+def test_coder_at_its_edges():
+    draw = np.random.default_rng(3)
+    for ids in (draw.integers(0, 65536, 9000), np.zeros(9000, int), np.full(9000, 65535), draw.integers(0, 3, 9000)):
+        sizes = np.array([2048, 1, 2048, 7, 2048, 2048, 800])
+        assert (token_files.decode_blocks(token_files.encode_blocks(ids.astype(np.uint32), sizes), sizes) == ids).all()
+    assert len(token_files.decode_blocks([], np.zeros(0, np.int64))) == 0
+
+
 def test_damaged_block_is_found():
     ids = np.arange(3000, dtype=np.uint32) * 7 % 49000
     sizes = np.array([2048, 952])
