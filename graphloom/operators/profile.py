@@ -27,3 +27,14 @@ def json_type(c: str | Column) -> Column:
     name = F.lower(F.when(F.startswith(inner, F.lit("OBJECT")), F.lit("object")).otherwise(inner))
     array = F.when(n == 0, "array[0]").otherwise(F.concat(F.lit("array["), name, F.lit(":"), n.cast("string"), F.lit("]")))
     return F.when(v.isNull() | (kind == "VOID"), "null").when(F.startswith(kind, F.lit("ARRAY")), array).when(F.startswith(kind, F.lit("OBJECT")), "object").otherwise(F.lower(kind))
+
+
+def type_histogram(df: DataFrame) -> DataFrame:
+    """(field, type, n): how many values of each column have which type; a null is ``null``, a variant has its value's type."""
+
+    def kind(name: str, of: str) -> Column:
+        own = json_type(F.to_json(name)) if of == "variant" else F.lit(of)
+        return F.when(F.col(name).isNull(), "null").otherwise(own)
+
+    each = F.array(*(F.struct(F.lit(c).alias("field"), kind(c, of).alias("type")) for c, of in df.dtypes))
+    return df.select(F.inline(each)).groupBy("field", "type").agg(F.count("*").alias("n"))

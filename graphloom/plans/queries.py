@@ -347,3 +347,37 @@ def posexplode_schema(t):
 @query("SELECT CASE WHEN json_type(props, '$.k') IN ('UBIGINT', 'BIGINT') THEN 'bigint' ELSE 'other' END AS type, count(*) AS n FROM events GROUP BY 1")
 def json_types(t):
     return t("events").select(profile.json_type(F.get_json_object("props", "$.k")).alias("type")).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT n_name AS nation FROM (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier) JOIN nation ON k = n_nationkey")
+def union_distinct(t):
+    keys = t("customer").select(C("c_nationkey").alias("n_nationkey")).union(t("supplier").select("s_nationkey")).distinct()
+    return t("nation").join(keys, "n_nationkey", "left_semi").select(C("n_name").alias("nation")).distinct()
+
+
+@query("SELECT l_partkey, l_suppkey, count(*) AS merged FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part) AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY 1, 2")
+def keyless_edge_upsert(t):
+    found = joins.resolve_edges(t("lineitem").select("l_partkey", "l_suppkey"), t("part").withColumnRenamed("p_partkey", "l_partkey"), t("supplier").where("s_acctbal > 0").withColumnRenamed("s_suppkey", "l_suppkey"), "l_partkey", "l_suppkey")
+    return found.groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("merged"))
+
+
+@query("""SELECT r_name AS region, p_brand AS brand, count(*) AS paths, count(DISTINCT c_custkey) AS customers FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey
+JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2""")
+def traceability(t):
+    """Paths of several hops from a region to a brand."""
+    where = t("customer").join(t("nation"), C("c_nationkey") == C("n_nationkey")).join(t("region"), C("n_regionkey") == C("r_regionkey"))
+    lines = t("lineitem").join(t("part"), C("l_partkey") == C("p_partkey")).groupBy("l_orderkey", "p_brand").agg(F.count("*").alias("n"))
+    paths = t("orders").join(where, C("o_custkey") == C("c_custkey")).join(lines, C("o_orderkey") == C("l_orderkey"))
+    each = paths.groupBy(C("r_name").alias("region"), C("p_brand").alias("brand"), "c_custkey").agg(F.sum("n").alias("n"))
+    return each.groupBy("region", "brand").agg(F.sum("n").alias("paths"), F.count("*").alias("customers"))
+
+
+@query("SELECT event_id, key, CAST(json_extract_string(props, '$.' || key) AS BIGINT) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)")
+def map_explode(t):
+    return t("events").select("event_id", F.explode(F.from_json("props", "map<string,bigint>")))
+
+
+@query("""SELECT field, type, count(*) AS n FROM (SELECT unnest(['event_type', 'value', 'props']) AS field, unnest(['string', CASE WHEN value >= 50 THEN 'double' ELSE 'null' END, CASE WHEN json_type(props) = 'OBJECT' THEN 'object' ELSE 'other' END]) AS type FROM events) GROUP BY 1, 2""")
+def type_histogram(t):
+    cells = t("events").select(F.col("event_type"), F.when(C("value") >= 50, C("value")).alias("value"), F.parse_json("props").alias("props"))
+    return profile.type_histogram(cells)
