@@ -7,10 +7,11 @@ be read, and its damage found, without any other.
 
 An id is predicted by the ids that last followed the two ids before it (order
 2) and the one before it (order 1), each with a count of how often it was
-right. Which of the two is right, or neither, is a symbol whose frequencies mix
-those seen at these counts with those seen at any. An id that neither gives is
-coded from adaptive order-0 frequencies of its upper half bytes, then its low
-byte. All symbols drive one 32-bit range coder.
+right. Which of the two is right, or else the id's upper three bits, is one
+symbol, whose probabilities mix those seen at these counts with those seen at
+any (order 0). An id that neither gives goes on with its middle five bits, from
+adaptive probabilities after the upper ones, and its low byte. All symbols
+drive one 64-bit range coder.
 
 Blocks do not depend on each other, so a task codes thousands side by side:
 step t codes id t of every block with the same few numpy operations.
@@ -43,8 +44,8 @@ _REMEMBER = 1 << 20
 _RUNS = 1 << 17
 _MARK = "\x1f"
 _TABLE = 1024
-_STEP = 16
-_LIMIT = 3500
+_FIRST, _MIDDLE = 10, 32  # symbols: order 2, order 1 or one of 8 upper parts; the middle part
+_FIRST_BITS, _MIDDLE_BITS = np.uint64(15), np.uint64(14)
 _LOW32 = np.uint64(0xFFFFFFFF)
 _U8, _U32 = np.uint64(8), np.uint64(32)
 
@@ -67,12 +68,12 @@ class _Range:
             self.value = self.words[self.at].astype(np.uint64) << _U32 | self.words[self.at + 1]
             self.at += 2
 
-    def share(self, lanes, total: np.ndarray) -> np.ndarray:
-        """Range of one count of ``total``."""
-        return self.range[lanes] // total
+    def share(self, lanes, bits: np.uint64) -> np.ndarray:
+        """Range of one count of 2^bits."""
+        return self.range[lanes] >> bits
 
-    def peek(self, lanes, share: np.ndarray, total: np.ndarray) -> np.ndarray:
-        return np.minimum((self.value[lanes] - self.low[lanes]) // share, total - np.uint64(1))
+    def peek(self, lanes, share: np.ndarray, bits: np.uint64) -> np.ndarray:
+        return np.minimum((self.value[lanes] - self.low[lanes]) // share, np.uint64((1 << int(bits)) - 1))
 
     def code(self, lanes, below: np.ndarray, size: np.ndarray, share: np.ndarray) -> None:
         """Narrows the range of ``lanes`` (a slice or indexes) to ``size`` counts from ``below``."""
@@ -100,37 +101,42 @@ class _Range:
         return [self.words[i:j].astype("<u4").tobytes() for i, j in zip(self.base, self.at)]
 
 
-class _Counts:
-    """Adaptive counts of a few symbols in each of many contexts, kept as sums of the counts before each symbol."""
+class _Sums:
+    """Adaptive probabilities of a few symbols in each of many contexts, kept as sums before each symbol.
 
-    def __init__(self, contexts: int, symbols: int):
-        self.upto = np.tile(np.arange(symbols + 1, dtype=np.uint16), (contexts, 1))
-        self.whole = self.upto.view(f"V{2 * symbols + 2}").reshape(-1)  # a context as one value, which is quicker to put
-        self.add = (np.arange(symbols + 1) > np.arange(symbols)[:, None]) * np.uint16(_STEP)
+    Each symbol has ``least`` for good; ``one`` more is shared out by what was seen.
+    """
 
-    def learn(self, context: np.ndarray, seen: np.ndarray, symbol: np.ndarray) -> None:
-        """Adds ``symbol`` to each context, whose sums are ``seen``; sums over the limit are halved."""
-        new = seen + self.add.take(symbol, axis=0)
-        full = np.flatnonzero(new[:, -1] > _LIMIT)
-        if len(full):
-            new[full, 1:] = ((np.diff(new[full].astype(np.int64), axis=1) + 1) >> 1).cumsum(axis=1)
+    def __init__(self, contexts: int, symbols: int, width: int, one: int, least: int):
+        place = np.minimum(np.arange(width), symbols)
+        self.upto = np.tile((place * one // symbols + place * least).astype(np.int16), (contexts, 1))
+        self.whole = self.upto.view(f"V{2 * width}").reshape(-1)  # a context as one value, which is quicker to put
+        self.certain = ((place > np.arange(symbols)[:, None]) * one + place * least).astype(np.int16)
+
+    def learn(self, context, seen: np.ndarray, symbol: np.ndarray, rate: int) -> None:
+        """Moves the sums ``seen`` of each context by 2^-rate of the way to its ``symbol``; they stay in order."""
+        new = self.certain.take(symbol, axis=0)
+        new -= seen
+        new >>= rate
+        new += seen
         self.whole[context] = new.view(self.whole.dtype).reshape(-1)
 
 
 def _bounds(upto: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sum before each row's symbol, and the symbol's own count."""
-    at = np.arange(len(upto)) * upto.shape[1] + symbol
+    """The sum before each row's symbol, and the symbol's own share."""
+    at = np.arange(0, upto.size, upto.shape[1]) + symbol
     flat = upto.reshape(-1)
     below = flat.take(at).astype(np.uint64)
     return below, flat.take(at + 1) - below
 
 
-def _find(upto: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """The symbol of 16 in whose counts each value falls."""
-    flat, at = upto.reshape(-1), np.arange(len(upto)) * upto.shape[1]
-    first = at.copy()
-    for step in (8, 4, 2, 1):
-        at += step * (flat.take(at + step) <= value)
+def _find(upto: np.ndarray, value: np.ndarray, half: int) -> np.ndarray:
+    """The symbol of at most 2 * half in whose share each value falls."""
+    flat, first, value = upto.reshape(-1), np.arange(0, upto.size, upto.shape[1]), value.astype(np.uint16)
+    at = first.copy()
+    while half:
+        at += half * (flat.take(at + half) <= value)
+        half >>= 1
     return at - first
 
 
@@ -139,55 +145,50 @@ class _Model:
 
     def __init__(self, lanes: int):
         self.after1, self.after2 = np.zeros(lanes * _TABLE, np.uint32), np.zeros(lanes * _TABLE, np.uint32)
-        self.which, self.any_which = _Counts(lanes * 16, 3), _Counts(lanes, 3)
-        self.high, self.second = _Counts(lanes, 16), _Counts(lanes * 16, 16)
+        one = ((1 << int(_FIRST_BITS)) - _FIRST) // 2
+        self.first, self.any_first = _Sums(lanes * 16, _FIRST, 16, one, 0), _Sums(lanes, _FIRST, 16, one, 1)
+        self.middle = _Sums(lanes * 8, _MIDDLE, _MIDDLE + 1, (1 << int(_MIDDLE_BITS)) - _MIDDLE, 1)
         self.before1, self.before2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
         self.lanes = np.arange(lanes)
 
-    def step(self, coder: _Range, m: int, ids: np.ndarray | None) -> np.ndarray:
-        """Codes one id of each of the first m lanes; ids None reads them."""
+    def step(self, coder: _Range, m: int, t: int, ids: np.ndarray | None) -> np.ndarray:
+        """Codes id t of each of the first m lanes; ids None reads them."""
         lanes, some = self.lanes[:m], slice(0, m)
+        slow, quick = (min(max(t.bit_length() - back, 2), 6) for back in (2, 4))  # less is learned from each id as more are known
         b1, b2 = self.before1[:m], self.before2[:m]
         slot1 = lanes * _TABLE + ((b1 * np.uint32(0x9E3779B1)) >> np.uint32(22))
         slot2 = lanes * _TABLE + (((b1 * np.uint32(0x85EBCA6B)) ^ (b2 * np.uint32(0xC2B2AE35))) >> np.uint32(22))
         e1, e2 = self.after1.take(slot1), self.after2.take(slot2)
         p1, p2 = e1 >> np.uint32(2), e2 >> np.uint32(2)
         known = lanes * 16 + ((e2 & np.uint32(3)) * np.uint32(4) + (e1 & np.uint32(3)))
-        seen, any_seen = self.which.upto.take(known, axis=0), self.any_which.upto[:m]
-        mixed = seen * np.uint16(3) + any_seen
-        total = mixed[:, 3].astype(np.uint64)
-        share = coder.share(some, total)
+        seen, any_seen = self.first.upto.take(known, axis=0), self.any_first.upto[:m]
+        mixed = (seen + any_seen).view(np.uint16)
+        share = coder.share(some, _FIRST_BITS)
         if ids is None:
-            value = coder.peek(some, share, total)
-            which = (mixed[:, 1] <= value).astype(np.int64) + (mixed[:, 2] <= value)
-            out = np.where(which == 0, p2, p1)
+            first = _find(mixed, coder.peek(some, share, _FIRST_BITS), 8)
+            out = np.where(first == 0, p2, p1)
         else:
-            which, out = np.where(ids == p2, 0, np.where(ids == p1, 1, 2)), ids.astype(np.uint32)
-        coder.code(some, *_bounds(mixed, which), share)
-        self.which.learn(known, seen, which)
-        self.any_which.learn(lanes, any_seen, which)
-        new = np.flatnonzero(which == 2)
+            first, out = np.where(ids == p2, 0, np.where(ids == p1, 1, (ids >> np.uint32(13)) + np.uint32(2))), ids
+        coder.code(some, *_bounds(mixed, first), share)
+        self.first.learn(known, seen, first, quick)
+        self.any_first.learn(some, any_seen, first, slow)
+        new = np.flatnonzero(first > 1)
         if len(new):
+            # the middle part and, inside its share, the low byte
             x = None if ids is None else ids[new].astype(np.int64)
-            upto = self.high.upto.take(new, axis=0)
-            total = upto[:, 16].astype(np.uint64)
-            share = coder.share(new, total)
-            high = _find(upto, coder.peek(new, share, total)) if x is None else x >> 12
-            coder.code(new, *_bounds(upto, high), share)
-            self.high.learn(new, upto, high)
-            # the second half byte and, inside its counts, the low byte
-            context = new * 16 + high
-            upto = self.second.upto.take(context, axis=0)
-            total = upto[:, 16].astype(np.uint64) << _U8
-            share = coder.share(new, total)
-            value = coder.peek(new, share, total) if x is None else None
-            second = _find(upto, value >> _U8) if x is None else x >> 8 & 15
-            below, size = _bounds(upto, second)
+            upper = first[new] - 2
+            context = new * 8 + upper
+            seen = self.middle.upto.take(context, axis=0)
+            upto = seen.view(np.uint16)
+            share = coder.share(new, _MIDDLE_BITS + _U8)
+            value = coder.peek(new, share, _MIDDLE_BITS + _U8) if x is None else None
+            middle = _find(upto, value >> _U8, 16) if x is None else x >> 8 & 31
+            below, size = _bounds(upto, middle)
             low = (value - (below << _U8)) // size if x is None else (x & 255).astype(np.uint64)
             coder.code(new, (below << _U8) + low * size, size, share)
-            self.second.learn(context, upto, second)
+            self.middle.learn(context, seen, middle, slow)
             if x is None:
-                out[new] = high << 12 | second << 8 | low.astype(np.int64)
+                out[new] = upper << 13 | middle << 8 | low.astype(np.int64)
         for table, slot, entry in ((self.after1, slot1, e1), (self.after2, slot2, e2)):
             right = entry >> np.uint32(2) == out
             table[slot] = np.where(right, np.minimum(entry + np.uint32(1), entry | np.uint32(3)), out << np.uint32(2))
@@ -206,7 +207,7 @@ def encode_blocks(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         coder, model = _Range(len(lanes), 2 * int(n[0]) + 16), _Model(len(lanes))
         for t in range(int(n[0])):
             m = int(np.searchsorted(-n, -t, "left"))
-            model.step(coder, m, ids[begin[lanes[:m]] + t].astype(np.uint32))
+            model.step(coder, m, t, ids[begin[lanes[:m]] + t].astype(np.uint32))
         for lane, data in zip(lanes.tolist(), coder.finish()):
             out[lane] = data
     return out
@@ -225,7 +226,7 @@ def decode_blocks(payloads: list[bytes], sizes: np.ndarray) -> np.ndarray:
         coder, model = _Range(len(lanes), room // 4, data), _Model(len(lanes))
         for t in range(int(n[0])):
             m = int(np.searchsorted(-n, -t, "left"))
-            out[begin[lanes[:m]] + t] = model.step(coder, m, None)
+            out[begin[lanes[:m]] + t] = model.step(coder, m, t, None)
     return out
 
 
