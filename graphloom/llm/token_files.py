@@ -20,11 +20,11 @@ step t codes id t of every block with the same few numpy operations.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,10 @@ _REMEMBER = 1 << 20
 #: Runs of text that are looked up together, or those of one text
 _RUNS = 1 << 17
 _MARK = "\x1f"
-_TABLE = 1024
+#: A run of Latin letters (but U+0130, whose lower case has a mark), then ASCII punctuation (no apostrophe, which may start a suffix)
+_WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!#$%&*+,./:;<=>?@^_|~-]*)")
+_TABLE_BITS = 10
+_TABLE = 1 << _TABLE_BITS
 _FIRST, _MIDDLE = 10, 32  # symbols: order 2, order 1 or one of 8 upper parts; the middle part
 _FIRST_BITS, _MIDDLE_BITS = np.uint64(15), np.uint64(14)
 _LOW32 = np.uint64(0xFFFFFFFF)
@@ -156,8 +159,8 @@ class _Model:
         lanes, some = self.lanes[:m], slice(0, m)
         slow, quick = (min(max(t.bit_length() - back, 2), 6) for back in (2, 4))  # less is learned from each id as more are known
         b1, b2 = self.before1[:m], self.before2[:m]
-        slot1 = lanes * _TABLE + ((b1 * np.uint32(0x9E3779B1)) >> np.uint32(22))
-        slot2 = lanes * _TABLE + (((b1 * np.uint32(0x85EBCA6B)) ^ (b2 * np.uint32(0xC2B2AE35))) >> np.uint32(22))
+        slot1 = lanes * _TABLE + ((b1 * np.uint32(0x9E3779B1)) >> np.uint32(32 - _TABLE_BITS))
+        slot2 = lanes * _TABLE + (((b1 * np.uint32(0x85EBCA6B)) ^ (b2 * np.uint32(0xC2B2AE35))) >> np.uint32(32 - _TABLE_BITS))
         e1, e2 = self.after1.take(slot1), self.after2.take(slot2)
         p1, p2 = e1 >> np.uint32(2), e2 >> np.uint32(2)
         known = lanes * 16 + ((e2 & np.uint32(3)) * np.uint32(4) + (e1 & np.uint32(3)))
@@ -236,7 +239,9 @@ class TextEncoder:
     The tokenizers library encodes every run of characters between ASCII white
     space; runs that come again are looked up. That gives the ids of the whole
     text where white space always parts words and has no ids of its own, which
-    a probe finds out. Any other tokenizer gets the whole texts.
+    a probe finds out. Any other tokenizer gets the whole texts. A new run of
+    letters and punctuation behind them is looked up as those two, in lower
+    case, where a second probe finds that this changes no id.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -248,6 +253,8 @@ class TextEncoder:
         mark = self._ids([_MARK])[0]
         self.mark = mark[0] if len(mark) == 1 else None
         self.parted = self.mark is not None and self._parted()
+        whole = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.worded = self.parted and not any(_WORD.fullmatch("a" + t) for t in whole) and self._worded()
 
     def _parted(self) -> bool:
         """Whether each kind of ASCII white space, before, after and between runs of any kind, changes no id."""
@@ -259,11 +266,36 @@ class TextEncoder:
                     return False
         return True
 
+    def _worded(self) -> bool:
+        """Whether letters give the ids of their lower case, and those before and of punctuation behind them."""
+        words = ["a", "Ab", "WORD", "don", "S", "RE", "stra\u00dfe", "\u00c9TAT", "na\u00efve", "\u0131I", "\u0141\u00f3d\u017a", "\u01c5", "\u024f"]
+        tails = [*"!#$%&*+,./:;<=>?@^_|~-", "...", "?!", ".,;:", "$$$", "***", "&&", "--", "|>", "</", "_-"]
+        low = [w.encode().lower().decode() for w in words]
+        if self._ids(words) != self._ids(low):
+            return False
+        end = self._ids(tails)
+        return all(self._ids([w + t for t in tails]) == [ids + e for e in end] for w, ids in zip(words, self._ids(low)))
+
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, runs: list[bytes]) -> None:
-        """Looks up new runs: many in one text, with a mark between that no other run gives."""
+        """Looks up new runs, those of a word and punctuation by these."""
+        if not self.worded:
+            return self._library(runs)
+        parts, rest = [], []
+        for r in runs:
+            m = _WORD.fullmatch(r.decode())
+            if m:
+                parts.append((r, m[1].encode().lower(), m[2].encode()))
+            else:
+                rest.append(r)
+        rest += [p for p in {p for _, word, tail in parts for p in (word, tail)} - set(rest) if p not in self.seen]
+        self._library(rest)
+        self.seen.update([(r, self.seen[word] + self.seen[tail]) for r, word, tail in parts])
+
+    def _library(self, runs: list[bytes]) -> None:
+        """Ids by the library: of many runs in one text, with a mark between that no other run gives."""
         odd = [r for r in runs if _MARK.encode() in r]
         runs = [r for r in runs if _MARK.encode() not in r]
         for r, ids in zip(odd, self._ids([r.decode() for r in odd])):
@@ -279,10 +311,10 @@ class TextEncoder:
 
     def _look_up(self, held: list[list[bytes]], end: bytes) -> list[bytes]:
         """Ids of each text, given as its runs."""
-        new = [r for r in dict.fromkeys(chain.from_iterable(held)) if r not in self.seen]
+        new = list(set().union(*held).difference(self.seen))
         if len(self.seen) + len(new) > _REMEMBER:
             self.seen.clear()
-            new = list(dict.fromkeys(chain.from_iterable(held)))
+            new = list(set().union(*held))
         self._learn(new)
         return [b"".join(map(self.seen.__getitem__, runs)) + end for runs in held]
 

@@ -349,6 +349,26 @@ def test_looked_up_runs_give_the_ids_of_whole_texts(monkeypatch):
     assert ids.tolist() == [*whole.tokenizer.encode("a  b c", add_special_tokens=False).ids, 2, 2]
 
 
+def test_words_and_punctuation_give_the_ids_of_whole_runs():
+    source = open(public_tokenizers.path("word_bpe_49k.json")).read()
+    pick = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzABCRSTVL\u00c0\u00dd\u00df\u00e9\u00ff\u0130\u0131\u0149\u0178\u017f\u0192\u01c0\u01c5\u01f1\u0218\u024f"
+    tails = "!#$%&*+,./:;<=>?@^_|~-"
+    runs = ["".join(pick.choices(letters, k=pick.randint(1, 9))) + "".join(pick.choices(tails, k=pick.randint(0, 3))) for _ in range(4000)]
+    runs += ["<|endoftext|>", "<|ENDOFTEXT|>", "a<|endoftext|>", "a<|EndOfText|>.", "endoftext|>", "don't.", "IT'S", "a\u0301.", "\u00d7.", "\u4e2d.", "\u2026.", "3.", "."]
+    encoder = token_files.TextEncoder(source)
+    assert encoder.worded
+    ids, n = encoder.encode(runs, 2)
+    assert ids.tolist() == [i for r in runs for i in [*encoder.tokenizer.encode(r, add_special_tokens=False).ids, 2]]
+    for change in ("case", "token"):
+        other = json.loads(source)
+        if change == "case":
+            other["normalizer"]["normalizers"] = other["normalizer"]["normalizers"][:2]
+        else:
+            other["added_tokens"].append({**other["added_tokens"][0], "id": 49408, "content": "ab"})
+        assert not token_files.TextEncoder(json.dumps(other)).worded
+
+
 def test_coder_at_its_edges():
     draw = np.random.default_rng(3)
     for ids in (draw.integers(0, 65536, 9000), np.zeros(9000, int), np.full(9000, 65535), draw.integers(0, 3, 9000)):
