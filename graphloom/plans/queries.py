@@ -381,3 +381,57 @@ def map_explode(t):
 def type_histogram(t):
     cells = t("events").select(F.col("event_type"), F.when(C("value") >= 50, C("value")).alias("value"), F.parse_json("props").alias("props"))
     return profile.type_histogram(cells)
+
+
+ASIA = "(SELECT n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA')"
+NEAR_ORDERS = f"(SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey IN {ASIA}))"
+NEAR_SUPPLIERS = f"(SELECT s_suppkey FROM supplier WHERE s_nationkey IN {ASIA})"
+
+
+def _near(t) -> tuple[DataFrame, DataFrame]:
+    """Keys of the orders and the suppliers of Asia."""
+    asia = t("nation").join(t("region").where("r_name = 'ASIA'"), C("n_regionkey") == C("r_regionkey"), "left_semi")
+    customers = t("customer").join(asia, C("c_nationkey") == C("n_nationkey"), "left_semi")
+    orders = t("orders").join(customers, C("o_custkey") == C("c_custkey"), "left_semi").select("o_orderkey")
+    return orders, t("supplier").join(asia, C("s_nationkey") == C("n_nationkey"), "left_semi").select("s_suppkey")
+
+
+@query(f"""SELECT 'edges_with_an_end_outside' AS rule, count(*) AS violations FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_orderkey NOT IN {NEAR_ORDERS} OR l_suppkey NOT IN {NEAR_SUPPLIERS})
+UNION ALL SELECT 'parts_without_a_supplier_inside', count(*) FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_suppkey IN {NEAR_SUPPLIERS})
+UNION ALL SELECT 'suppliers_of_an_order_outside', count(DISTINCT l_suppkey) FROM lineitem WHERE l_orderkey NOT IN {NEAR_ORDERS}
+UNION ALL SELECT 'lines_from_an_order_outside', count(*) FROM lineitem WHERE l_orderkey NOT IN {NEAR_ORDERS}
+UNION ALL SELECT 'customers_without_an_order', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+def scope_layers(t):
+    """Counters of edges by both ends, of nodes two hops away and of distinct nodes."""
+    orders, suppliers = _near(t)
+    pairs = t("lineitem").select("l_orderkey", "l_suppkey").distinct()
+    by_order, by_supplier = C("l_orderkey") == C("o_orderkey"), C("l_suppkey") == C("s_suppkey")
+    inside = pairs.join(orders, by_order, "left_semi").join(suppliers, by_supplier, "left_semi")
+    outside = t("lineitem").select("l_orderkey", "l_suppkey").join(orders, by_order, "left_anti")
+    return graph.violations({
+        "edges_with_an_end_outside": pairs.join(inside, ["l_orderkey", "l_suppkey"], "left_anti"),
+        "parts_without_a_supplier_inside": t("part").join(t("lineitem").join(suppliers, by_supplier, "left_semi"), C("p_partkey") == C("l_partkey"), "left_anti"),
+        "suppliers_of_an_order_outside": outside.select("l_suppkey").distinct(),
+        "lines_from_an_order_outside": outside,
+        "customers_without_an_order": t("customer").join(t("orders"), C("c_custkey") == C("o_custkey"), "left_anti"),
+    })
+
+
+@query(f"""SELECT l_returnflag AS layer, count(*) AS edges, count(DISTINCT l_partkey) AS parts, min(l_quantity) AS least, max(l_quantity) AS most,
+count(*) FILTER (l_suppkey NOT IN {NEAR_SUPPLIERS}) AS from_outside FROM lineitem GROUP BY 1""")
+def layer_statistics(t):
+    """Edges, distinct ends, range of a measure and edges from outside the scope, for each layer."""
+    marked = t("lineitem").join(_near(t)[1].withColumn("inside", F.lit(True)), C("l_suppkey") == C("s_suppkey"), "left")
+    # by part first, so that the distinct count needs no second copy of the rows
+    parts = marked.groupBy("l_returnflag", "l_partkey").agg(F.count("*").alias("n"), F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"), F.count_if(C("inside").isNull()).alias("out"))
+    return parts.groupBy(C("l_returnflag").alias("layer")).agg(F.sum("n").alias("edges"), F.count("l_partkey").alias("parts"), F.min("lo").alias("least"), F.max("hi").alias("most"), F.sum("out").alias("from_outside"))
+
+
+@query("""SELECT c_custkey, a.c_mktsegment AS before, CASE WHEN a.c_acctbal < 0 THEN 'OVERDUE' ELSE a.c_mktsegment END AS after_once, CASE WHEN a.c_acctbal < 0 THEN 'OVERDUE' ELSE a.c_mktsegment END AS after_twice FROM customer a""")
+def upsert_twice(t):
+    """A snapshot before an upsert, the table after it, and after the same upsert again."""
+    table = t("customer").select("c_custkey", "c_mktsegment")
+    batch = t("customer").where("c_acctbal < 0").select("c_custkey", F.lit("OVERDUE").alias("c_mktsegment"))
+    once = graph.upsert(table, batch, "c_custkey")
+    renamed = [df.withColumnRenamed("c_mktsegment", n) for df, n in ((table, "before"), (once, "after_once"), (graph.upsert(once, batch, "c_custkey"), "after_twice"))]
+    return renamed[0].join(renamed[1], "c_custkey").join(renamed[2], "c_custkey")

@@ -63,3 +63,9 @@ def zipped_lines(spark: SparkSession, path: str) -> DataFrame:
 def xml_records(spark: SparkSession, path: str, row_tag: str, schema: T.StructType) -> DataFrame:
     """Elements of XML files, plain or gzipped; a default namespace is ignored."""
     return spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
+
+
+def json_page_lines(spark: SparkSession, path: str, record: T.StructType, envelope: T.StructType) -> DataFrame:
+    """Records of pages written one to a line, with the fields of their envelope and ``position``."""
+    schema = T.StructType([*envelope.fields, T.StructField("payload", T.ArrayType(record))])
+    return spark.read.schema(schema).json(path).select(*envelope.names, F.posexplode("payload").alias("position", "r")).select(*envelope.names, "position", "r.*")

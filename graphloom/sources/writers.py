@@ -28,3 +28,8 @@ def metadata(df: DataFrame) -> str:
     """A one-row table of aggregates as pretty JSON with sorted keys."""
     row = df.first()
     return json.dumps(row.asDict(recursive=True) if row else {}, indent=2, sort_keys=True, ensure_ascii=False)
+
+
+def json_pages(pages: DataFrame, path: str, folder: str) -> None:
+    """Pages, one to a line, in a folder for each value of ``folder``."""
+    pages.write.partitionBy(folder).json(path)
