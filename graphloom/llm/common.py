@@ -2,28 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables that every executor can reach.
-
-    The session's ``spark.checkpoint.dir`` if set. Where it is unset, a local
-    session (one JVM, as in tests) gets a new temporary folder, and a cluster
-    gets a folder inside its shared SQL warehouse.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if spark.sparkContext.master.startswith("local"):
-            found = tempfile.mkdtemp(prefix="spark-graphloom-", dir="/tmp")
-        else:
-            found = f"{spark.conf.get('spark.sql.warehouse.dir')}/_intermediate"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+from ..sources.shared import new_folder
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -34,7 +16,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     size, so that it broadcasts the table only if it is small.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import os
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from ..sources.shared import new_folder
 
 BLOCK_IDS = 2048
 ROW_IDS = 8 * BLOCK_IDS
@@ -456,4 +455,4 @@ def read_tokens(spark, path: str, keep_ids: bool = False) -> DataFrame:
 
 def new_path(spark) -> str:
     """A path for a new token file in the shared folder."""
-    return f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    return new_folder(spark, "tokens")
