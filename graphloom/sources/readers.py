@@ -37,14 +37,14 @@ def pairs(spark: SparkSession, path: str, left: str, right: str) -> DataFrame:
     return spark.read.text(path).select(p.alias("p")).where("size(p) = 2").select(F.col("p")[0].alias(left), F.col("p")[1].alias(right))
 
 
-def zipped_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line) of zips with exactly one member, streamed; what is not UTF-8 is replaced."""
+def zipped_lines(spark: SparkSession, path: str, member: str | None = None) -> DataFrame:
+    """(file, line_no, line) of one member of each zip, the only one unless named, streamed; what is not UTF-8 is replaced."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    members = z.namelist()
+                    members = [member] if member else z.namelist()
                     if len(members) != 1:
                         raise ValueError(f"{name} has {len(members)} members, not one")
                     with z.open(members[0]) as f:

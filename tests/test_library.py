@@ -97,6 +97,11 @@ def test_sources_and_sinks(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "zips/one.zip", "w") as z:
         z.writestr("m.tsv", b"a\tb\r\nc\xff\td\n")
     assert [r.line for r in readers.zipped_lines(spark, str(tmp_path / "zips")).orderBy("line_no").collect()] == ["a\tb", "c�\td"]
+    with zipfile.ZipFile(tmp_path / "zips/one.zip", "a") as z:
+        z.writestr("other.tsv", b"x\ty\n")
+    assert [r.line for r in readers.zipped_lines(spark, str(tmp_path / "zips"), "other.tsv").collect()] == ["x\ty"]
+    with pytest.raises(Exception, match="2 members"):
+        readers.zipped_lines(spark, str(tmp_path / "zips")).collect()
     with gzip.open(tmp_path / "x.xml.gz", "wt") as f:
         f.write('<r xmlns="http://n"><m><id>1</id></m><m><id>2</id></m></r>')
     assert rows(readers.xml_records(spark, str(tmp_path / "x.xml.gz"), "m", record)) == [("1",), ("2",)]
