@@ -31,7 +31,8 @@ BOILERPLATE = re.compile(
     r"(?<![a-z])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|commentlist|respond|replies|disqus|consent|cookies?|gdpr|footer|header|masthead|menu|nav|navbar|navigation|newsletter|notices?|pager|pagination|popup|modal|promo|related|recommended|share|sharing|sidebar|side-?bar|social|sponsor(?:ed)?|subscribe|toolbar|widget)(?![a-z])"
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+#: Quotes count only after ``=``
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=)*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
 #: A sibling is kept with this share of the best score
@@ -78,9 +79,7 @@ def _blocks(source: str) -> list[tuple[_Node, str]]:
                 _pass_points(node, len(block), block.count(",") + block.count("،") + block.count("、"), min(links, len(block)))
         text, links = [], 0
 
-    for m in _TAG.finditer(source):
-        if m.start() < at:
-            continue
+    while (m := _TAG.search(source, at)) is not None:  # goes on behind the end of a raw element
         if m.start() > at and not node.dead:
             text.append(source[at : m.start()])
             links += (m.start() - at) * (link > 0)

@@ -304,6 +304,13 @@ def test_html():
     assert html_extract.main_text("<article>" + "<p>a b</p>" * 20_000).count("\n") == 19_999
 
 
+def test_html_scripts_do_not_hide_tags():
+    body = "</script><article><h1>T</h1><p>One, it is.</p><p>Two's here</p></article><footer>f</footer>"
+    for script in ("for(i=0; i<n; i++) { // don't stop\n}", "<!-- if (a<b) 'x", 'a<b && "'):
+        assert html_extract.main_text("<script>" + script + body) == "T\nOne, it is.\nTwo's here"
+    assert html_extract.main_text("<p don't>One, two</p><p title='a>b' class=\"x>y\">Don't</p>") == "One, two\nDon't"
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, None, None, "t"), (1, "u", "<p>a</p>", "t"), (1, "u", "<p>a</p>", "t")], "page_id bigint, url string, html string, text string")
     assert sorted((r.url or "", r.text, r.n_chars) for r in html_extract.extract(pages).collect()) == [("", "", 0), ("u", "a", 1), ("u", "a", 1)]
