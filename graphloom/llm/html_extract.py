@@ -5,7 +5,12 @@ all they hold. Each block of text that remains gives points for its length and
 its commas to the elements around it, fewer the further out, and an element's
 points are discounted by the share of its text inside links. The element with
 the most points, or the article or main element around it, is kept, and with it
-those of its siblings that score well or read like prose.
+those of its siblings that score well, and the headings, paragraphs, lists,
+quotes, tables and articles beside it that hold few links.
+
+A class or id only makes an element suspect. It stays if the name also has a
+word for content, or if it holds most of the page's text outside links, with
+headings or paragraphs, and its name is not one of comments or advertisements.
 """
 
 from __future__ import annotations
@@ -27,9 +32,14 @@ OUTSIDE_ARTICLE = frozenset(["header"])
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 MAIN = frozenset(["article", "main"])
-BOILERPLATE = re.compile(
-    r"(?<![a-z])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|commentlist|respond|replies|disqus|consent|cookies?|gdpr|footer|header|masthead|menu|nav|navbar|navigation|newsletter|notices?|pager|pagination|popup|modal|promo|related|recommended|share|sharing|sidebar|side-?bar|social|sponsor(?:ed)?|subscribe|toolbar|widget)(?![a-z])"
-)
+#: Words of class and id values. A value is of the layout if all parts of it are such words and one is no filler
+FOREIGN = frozenset("ad ads advert adverts advertisement advertising comment comments commentlist respond replies disqus consent cookie cookies gdpr newsletter".split())
+LAYOUT = FOREIGN | frozenset("banner breadcrumb breadcrumbs footer header masthead menu nav navbar navigation notice notices pager pagination popup modal promo related recommended share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets".split())
+FILLER = frozenset("area bar block bottom box buttons col column container global inner item items left links list outer primary right row secondary section side site top wrap wrapper".split())
+CONTENT = frozenset("article body content entry main post".split())
+#: Kept beside the best element, if few of their characters are in links
+BESIDE = frozenset("article blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 #: Quotes count only after ``=``
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=)*)(?:>|\Z)", re.S)
@@ -40,11 +50,30 @@ SIBLING_SHARE = 0.2
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "dead", "score", "chars", "linked", "blocks", "hint")
+    __slots__ = ("tag", "parent", "dead", "suspect", "score", "chars", "linked", "prose")
 
-    def __init__(self, tag: str, parent: _Node | None, dead: bool):
-        self.tag, self.parent, self.dead = tag, parent, dead
-        self.score, self.chars, self.linked, self.blocks = 0.0, 0, 0, []
+    def __init__(self, tag: str, parent: _Node | None, dead: bool, suspect: int = 0):
+        self.tag, self.parent, self.dead, self.suspect = tag, parent, dead, suspect
+        self.score, self.chars, self.linked, self.prose = 0.0, 0, 0, False
+
+
+def _suspect(attrs: str) -> int:
+    """2 if a class or id names what is never an article, 1 if it names a part of the layout, else 0."""
+    found = 0
+    for name, *values in _ATTR.findall(attrs):
+        if name.lower() not in ("class", "id"):
+            continue
+        for value in "".join(values).lower().split():
+            parts = [x for x in re.split(r"[^a-z]+", value) if x]
+            if not parts:
+                continue
+            if parts[0] in FOREIGN and all(x in LAYOUT or x in FILLER or x in CONTENT for x in parts):
+                return 2
+            if any(x in CONTENT for x in parts):
+                return 0
+            if any(x in LAYOUT for x in parts) and all(x in LAYOUT or x in FILLER for x in parts):
+                found = max(found, 2 if any(x in FOREIGN for x in parts) else 1)
+    return found
 
 
 def _skipped(tag: str, attrs: str, parent: _Node) -> bool:
@@ -59,13 +88,50 @@ def _skipped(tag: str, attrs: str, parent: _Node) -> bool:
         return False
     for name, *values in _ATTR.findall(attrs):
         name, value = name.lower(), "".join(values).lower()
-        if (name in ("class", "id") and BOILERPLATE.search(value.replace("_", "-"))) or name == "hidden" or (name == "role" and value in _ROLES) or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
+        if name == "hidden" or (name == "role" and value in _ROLES) or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
             return True
     return False
 
 
 def _blocks(source: str) -> list[tuple[_Node, str]]:
     """The text blocks of a page in order, each with the element it stands in; scores the elements."""
+    found = _all_blocks(source)
+    for node, block, links in found:
+        prose = node.tag in _HEADINGS or node.tag == "p"
+        up: _Node | None = node
+        while up is not None:
+            up.chars, up.linked, up.prose = up.chars + len(block), up.linked + links, up.prose or prose
+            root, up = up, up.parent
+    if not found:
+        return []
+    most = (root.chars - root.linked) / 2
+    drop: dict[int, bool] = {}
+
+    def dropped(node: _Node) -> bool:
+        chain = []
+        up: _Node | None = node
+        while up is not None and id(up) not in drop:
+            chain.append(up)
+            up = up.parent
+        gone = up is not None and drop[id(up)]
+        for x in reversed(chain):
+            gone = gone or (x.suspect > 0 and (x.suspect == 2 or not x.prose or x.chars - x.linked <= most))
+            drop[id(x)] = gone
+        return gone
+
+    left = [x for x in found if not dropped(x[0])]
+    for node, _, _ in found:
+        up = node
+        while up is not None and up.chars:
+            up.chars = up.linked = 0
+            up = up.parent
+    for node, block, links in left:
+        _pass_points(node, len(block), block.count(",") + block.count("\u060c") + block.count("\u3001"), links)
+    return [(node, block) for node, block, _ in left]
+
+
+def _all_blocks(source: str) -> list[tuple[_Node, str, int]]:
+    """All text blocks outside dropped tags, each with its element and the number of its characters in links."""
     root = _Node("", None, False)
     node, found, text, link, links = root, [], [], 0, 0
     at = 0
@@ -75,8 +141,7 @@ def _blocks(source: str) -> list[tuple[_Node, str]]:
         if text and not node.dead:
             block = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             if block:
-                found.append((node, block))
-                _pass_points(node, len(block), block.count(",") + block.count("،") + block.count("、"), min(links, len(block)))
+                found.append((node, block, min(links, len(block))))
         text, links = [], 0
 
     while (m := _TAG.search(source, at)) is not None:  # goes on behind the end of a raw element
@@ -110,7 +175,7 @@ def _blocks(source: str) -> list[tuple[_Node, str]]:
             elif tag in SAME and node.tag in SAME[tag]:
                 node = node.parent
             if tag not in VOID:
-                node = _Node(tag, node, node.dead or _skipped(tag, m[3] or "", node))
+                node = _Node(tag, node, node.dead or _skipped(tag, m[3] or "", node), 0 if tag in ("body", "html", *MAIN) or not m[3].strip() else _suspect(m[3]))
     if at < len(source) and not node.dead:
         text.append(source[at:])
     flush()
@@ -147,15 +212,22 @@ def main_text(source: str | None) -> str:
     while up is not None:
         top, up = (up if up.tag in MAIN else top), up.parent
     least = max(1.0, value(best) * SIBLING_SHARE)
+    few_links = lambda n: n.linked * 4 < n.chars
     out = []
     for node, block in found:
-        up, below = node, None
-        while up is not None and up is not top:
+        up, below, beside = node, None, None
+        while up is not None and up is not top and below is None:
+            if up.tag in BESIDE:
+                beside = up
             if up.parent is top.parent:
                 below = up
             up = up.parent
-        prose = below is not None and top.tag not in MAIN and (value(below) >= least or (below.tag == "p" and below.linked * 4 < below.chars))
-        if up is top or prose:
+        keep = up is top
+        if below is not None:  # a sibling, or in one
+            keep = few_links(below) and beside is not None and few_links(beside) or (top.tag not in MAIN and value(below) >= least)
+        elif not keep:  # the title may stand further out
+            keep = beside is not None and beside.tag == "h1" and few_links(beside)
+        if keep:
             out.append(block)
     return "\n".join(out)
 

@@ -311,6 +311,16 @@ def test_html_scripts_do_not_hide_tags():
     assert html_extract.main_text("<p don't>One, two</p><p title='a>b' class=\"x>y\">Don't</p>") == "One, two\nDon't"
 
 
+def test_html_keeps_articles_in_layout_names_and_beside_the_best():
+    m = html_extract.main_text
+    assert m('<body><div class="content has-sidebar"><p>One, two, three.</p><p>Four, five.</p></div><div class="sidebar widget-area"><p>Buy</p></div>') == "One, two, three.\nFour, five."
+    assert m('<body><div class="post-header"><h1>T</h1></div><div class="post-body"><p>One, two, three, four.</p><p>Five, six, seven.</p></div>') == "T\nOne, two, three, four.\nFive, six, seven."
+    assert m('<body><div id="header"><div><h1>T</h1><p>One, two, three, four, five.</p><p>Six, seven, eight.</p></div></div><div>x</div>').startswith("T\nOne")
+    assert m("<div><h1>T</h1><div class=body><p>One, two, three, four, five, six, seven, eight.</p><p>Nine, ten.</p></div><ul><li>x<li>y</ul><table><tr><td>z</table><ul><li><a href=/>link</a></ul></div>") == "T\nOne, two, three, four, five, six, seven, eight.\nNine, ten.\nx\ny\nz"
+    assert m("<main><p>lead</p></main>" + "<article><p>One, two.</p></article>" * 2) == "lead\nOne, two.\nOne, two."
+    assert m('<div class=post><p>Short, text.</p></div><div class="comment-body"><p>A long, long, long comment.</p><p>More, and more.</p></div>') == "Short, text."
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, None, None, "t"), (1, "u", "<p>a</p>", "t"), (1, "u", "<p>a</p>", "t")], "page_id bigint, url string, html string, text string")
     assert sorted((r.url or "", r.text, r.n_chars) for r in html_extract.extract(pages).collect()) == [("", "", 0), ("u", "a", 1), ("u", "a", 1)]
