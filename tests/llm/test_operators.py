@@ -243,6 +243,42 @@ def test_line_dedup_with_two_edits_and_odd_rows(spark, odd):
     assert line_dedup.drop_lines(odd.limit(0)).count() == 0
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a):
+        last, row[0] = row[0], i + 1
+        for j, d in enumerate(b):
+            last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (c != d))
+    return row[-1]
+
+
+@pytest.mark.parametrize("hot", [64, 3])
+def test_long_lines_link_within_a_twentieth(spark, hot):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghijklm", k=rng.randint(2, 9))) for _ in range(400)]
+    base = [" ".join(rng.choices(words, k=n)) for n in (9, 20, 45, 90)] + ["".join(rng.choices("的一是不了人我在有他这中大来上", k=120))]
+
+    def changed(x):
+        for _ in range(rng.randint(0, len(x) // 16)):
+            i = rng.randrange(len(x))
+            x = x[:i] + rng.choice(["", "q", "q" + x[i]]) + x[i + 1 :]
+        return x
+
+    rows = [(i, changed(base[i % 5])) for i in range(60)]
+    sets = Sets()
+    for i, (_, a) in enumerate(rows):
+        for j in range(i):
+            if a == rows[j][1] or 20 * edits(a, rows[j][1]) <= max(len(a), len(rows[j][1])) >= 40:
+                sets.join(i, j)
+    got = {r.doc_id: r.text for r in line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), hot_limit=hot).collect()}
+    want = {i: t if sets.find(i) == i else "" for i, t in rows}
+    if hot == 64:
+        assert got == want
+    else:  # lines that share one hot run and nothing else do not meet
+        assert all(got[i] == t or want[i] == "" for i, t in rows) and sum(got[i] != want[i] for i, _ in rows) <= 4
+    assert sum(t == "" for t in got.values()) > 20
+
+
 def test_sentencepiece_round_trip_and_best_score(spark, docs, odd):
     v = registry.piece_vocabulary()
     for table in (docs, odd):
