@@ -23,7 +23,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] == "local":
             base = tempfile.mkdtemp(prefix="spark-graphloom-", dir="/tmp")
         else:
             warehouse = spark.conf.get("spark.sql.warehouse.dir")
