@@ -5,20 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import new_folder
+from ..sources.shared import Tables
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table written to the shared folder and read back.
-
-    This cuts the lineage in a way that survives lost executors, runs ``df``
-    once however often the result is used, and gives the optimizer the real
-    size, so that it broadcasts the table only if it is small.
-    """
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``df`` as a table written to the shared folder and read back; it stays there."""
+    return Tables(df.sparkSession).put(name, df)
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:

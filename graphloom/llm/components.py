@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from ..sources.shared import Tables
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -17,10 +17,11 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     then a small star), which takes O(log^2) rounds. A round is two
     aggregations with partial sums and two equi-joins whose hot keys adaptive
     execution can split; its links go to a written table, so a lost executor
-    costs no more than a round.
+    costs no more than a round, and those of the round before are deleted.
     """
+    tables = Tables(links.sparkSession)
     edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    edges = written(edges, "links")
+    edges = tables.put("links", edges)
     seen = _state(edges)
     for _ in range(max_rounds):
         if seen[0] == 0:
@@ -30,7 +31,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "links")
+        edges = tables.put("links", small.unionByName(least.withColumnRenamed("m", "v")).distinct())
         now = _state(edges)
         if now == seen:
             break
