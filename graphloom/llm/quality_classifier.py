@@ -74,35 +74,42 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def likelihood(p: np.ndarray, features: int, ids: np.ndarray, rows: np.ndarray, grade: np.ndarray, grades: int, decay: float) -> tuple[float, np.ndarray]:
+    """Log-likelihood a row, less a penalty on the weights, and its gradient. ``p`` has the weights, the first threshold and logs of the steps to the others."""
+    w, cut = p[:features], _thresholds(p[features:])
+    z = np.bincount(rows, weights=w[ids], minlength=len(grade))
+    below = np.concatenate([np.zeros((len(z), 1)), _sigmoid(cut[None] - z[:, None]), np.ones((len(z), 1))], axis=1)
+    slope = below * (1 - below)
+    at = np.arange(len(z))
+    prob = np.maximum(below[at, grade + 1] - below[at, grade], 1e-9)
+    dz = -(slope[at, grade + 1] - slope[at, grade]) / prob
+    dcut = np.array([(np.where(grade == k, slope[:, k + 1], 0) / prob - np.where(grade == k + 1, slope[:, k + 1], 0) / prob).sum() for k in range(grades - 1)])
+    dgap = np.exp(p[features + 1 :]) * np.cumsum(dcut[::-1])[::-1][1:]
+    gradient = np.concatenate([np.bincount(ids, weights=dz[rows], minlength=features), dcut.sum(keepdims=True), dgap]) / len(z)
+    gradient[:features] -= decay * w
+    return float(np.log(prob).mean() - decay * (w @ w) / 2), gradient
+
+
 def train(ids: np.ndarray, first: np.ndarray, grade: np.ndarray, grades: int = 3, rounds: int = 400, decay: float = 3e-5) -> Model:
     """Maximum likelihood with an L2 penalty, all rows a round (Adam)."""
     rows = np.repeat(np.arange(len(grade)), np.diff(first))
     seen = np.bincount(ids, minlength=N_FEATURES)
     mean = np.bincount(ids, weights=grade[rows].astype(float), minlength=N_FEATURES) / np.maximum(seen, 1)
     z = np.abs(mean - grade.mean()) * np.sqrt(seen) / max(grade.std(), 1e-9)
-    use = ((seen >= MIN_DOCS) & (z >= MIN_Z))[ids]
-    ids, rows = ids[use], rows[use]
-    w = np.zeros(N_FEATURES)
+    used = np.flatnonzero((seen >= MIN_DOCS) & (z >= MIN_Z))
+    use = np.isin(ids, used)
+    ids, rows, n = np.searchsorted(used, ids[use]), rows[use], len(used)
     share = np.array([(grade <= k).mean() for k in range(grades - 1)]).clip(0.001, 0.999)
     cut = np.log(share / (1 - share))
-    gap = np.log(np.maximum(np.diff(cut), 1e-2))
-    p = np.concatenate([w, cut[:1], gap])
+    p = np.concatenate([np.zeros(n), cut[:1], np.log(np.maximum(np.diff(cut), 1e-2))])
     m, v = np.zeros_like(p), np.zeros_like(p)
     for step in range(1, rounds + 1):
-        w, cut = p[:N_FEATURES], _thresholds(p[N_FEATURES:])
-        z = np.bincount(rows, weights=w[ids], minlength=len(grade))
-        below = np.concatenate([np.zeros((len(z), 1)), _sigmoid(cut[None] - z[:, None]), np.ones((len(z), 1))], axis=1)
-        slope = below * (1 - below)
-        at = np.arange(len(z))
-        prob = np.maximum(below[at, grade + 1] - below[at, grade], 1e-9)
-        dz = -(slope[at, grade + 1] - slope[at, grade]) / prob
-        dcut = np.array([(np.where(grade == k, slope[:, k + 1], 0) / prob - np.where(grade == k + 1, slope[:, k + 1], 0) / prob).sum() for k in range(grades - 1)])
-        dgap = np.exp(p[N_FEATURES + 1 :]) * np.cumsum(dcut[::-1])[::-1][1:]
-        grad = np.concatenate([np.bincount(ids, weights=dz[rows], minlength=N_FEATURES), dcut.sum(keepdims=True), dgap]) / len(z)
-        grad[:N_FEATURES] -= decay * w
+        grad = likelihood(p, n, ids, rows, grade, grades, decay)[1]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         p = p + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-    return Model(p[:N_FEATURES].astype(np.float32), _thresholds(p[N_FEATURES:]))
+    weights = np.zeros(N_FEATURES, np.float32)
+    weights[used] = p[:n]
+    return Model(weights, _thresholds(p[n:]))
 
 
 def _thresholds(p: np.ndarray) -> np.ndarray:
@@ -113,7 +120,8 @@ def _thresholds(p: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """A model from the documents that ``labels`` (doc_id, quality, toxic) grades.
 
-    The sample is the ``train_docs`` labelled ids of least hash. Labels without
+    The sample is the ``train_docs`` labelled ids of least hash, and of the rows of
+    an id that repeats the one whose text has the least hash. Labels without
     an id or a quality are left out; a null ``toxic`` is 0. With no labelled
     document every text has the top grade.
     """
@@ -128,7 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("grade"), lists], ["doc_id", "grade", "ids"])
 
-    used = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "grade", "text")
+    # one row of an id that repeats: the bound on the sample is one on rows
+    used = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id").agg(F.max("grade").alias("grade"), F.min_by("text", F.xxhash64("text")).alias("text"))
     found = used.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, grade int, ids array<int>").toArrow()
     if not found.num_rows:
         return Model(np.zeros(N_FEATURES, np.float32), np.array([-40.0, -39.0]))

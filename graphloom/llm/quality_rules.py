@@ -7,10 +7,15 @@ finds the best one for all lines of a text. A text is kept if it passes the
 base rules and the words of its content lines are at least ``min_share`` of its
 words.
 
-The CRF is trained here, on lines of labelled documents that carry their
-document's quality label. At most ``TRAIN_DOCS`` documents and the first
-``TRAIN_LINES`` lines of each are used for training (never for counts or
-decoding, which cover all lines of all texts).
+The CRF is trained here on labelled documents, whose labels say nothing of their
+lines. Lines start with their document's label and without weights for
+neighbours. Then labels and weights are learnt in turns: the weights label the
+lines, where a good document must keep ``min_share`` of its words as content and
+a bad one must not, and these labels train the weights anew. So a clean line of
+a bad document becomes content, and the weights for neighbours are learnt from
+texts that switch. At most ``train_docs`` documents and ``train_lines`` lines of
+each, in three runs spread over the text, are used for training (never for
+counts or decoding, which cover all lines of all texts).
 """
 
 from __future__ import annotations
@@ -157,44 +162,75 @@ def decode(lines: Lines, theta: np.ndarray) -> np.ndarray:
     return viterbi(np.stack([score, np.zeros_like(score)], axis=1), lines.first, move)
 
 
-def train(features: np.ndarray, first: np.ndarray, bad: np.ndarray, rounds: int = 120, decay: float = 1e-3) -> np.ndarray:
-    """CRF weights from labelled line sequences by gradient ascent on the likelihood (Adam)."""
-    n = np.diff(first)
-    d, t = len(n), int(n.max())
-    x = np.zeros((d, t, _N))
-    real = np.arange(t) < n[:, None]
-    x[real] = features
-    y = np.repeat(bad.astype(int), t).reshape(d, t)
-    want = np.zeros(_N + 4)
-    want[:_N] = (x * (real & (y == 0))[:, :, None]).sum((0, 1))
+def likelihood(theta: np.ndarray, x: np.ndarray, real: np.ndarray, y: np.ndarray, decay: float) -> tuple[float, np.ndarray]:
+    """Log-likelihood a line, less a penalty, of labels ``y`` (sequences padded; ``real`` marks lines), and its gradient."""
+    d, t = real.shape
+    content, move = _unpack(theta)
     pair = real[:, 1:]
-    want[_N:] = np.bincount((2 * y[:, :-1] + y[:, 1:])[pair], minlength=4)
-    theta, m, v = np.zeros(_N + 4), np.zeros(_N + 4), np.zeros(_N + 4)
+    steps = np.bincount((2 * y[:, :-1] + y[:, 1:])[pair], minlength=4)
+    want = np.concatenate([(x * (real & (y == 0))[:, :, None]).sum((0, 1)), steps])
+    emit = np.stack([x @ content, np.zeros((d, t))], axis=2)
+    alpha, beta = np.zeros((d, t, 2)), np.zeros((d, t, 2))
+    alpha[:, 0] = emit[:, 0]
+    for i in range(1, t):
+        nxt = emit[:, i] + np.logaddexp(alpha[:, i - 1, 0, None] + move[0], alpha[:, i - 1, 1, None] + move[1])
+        alpha[:, i] = np.where(real[:, i, None], nxt, alpha[:, i - 1])
+    for i in range(t - 2, -1, -1):
+        ahead = emit[:, i + 1] + beta[:, i + 1]
+        nxt = np.logaddexp(ahead[:, 0, None] + move[:, 0], ahead[:, 1, None] + move[:, 1])
+        beta[:, i] = np.where(real[:, i + 1, None], nxt, 0)
+    total = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
+    one = np.exp(alpha[:, :, 0] + beta[:, :, 0] - total[:, None]) * real
+    two = np.exp(alpha[:, :-1, :, None] + move + (emit + beta)[:, 1:, None, :] - total[:, None, None, None]) * pair[:, :, None, None]
     scale = real.sum()
+    gradient = (want - np.concatenate([np.einsum("dt,dtf->f", one, x), two.sum((0, 1)).ravel()])) / scale - decay * theta
+    return float((want @ theta - total.sum()) / scale - decay * (theta @ theta) / 2), gradient
+
+
+def train(features: np.ndarray, first: np.ndarray, labels: np.ndarray, start: np.ndarray | None = None, rounds: int = 80, decay: float = 1e-3, moves: bool = True) -> np.ndarray:
+    """CRF weights from line sequences with labels (0 content, 1 boilerplate) by gradient ascent (Adam); ``moves`` False keeps weights for neighbours as they are."""
+    n = np.diff(first)
+    real = np.arange(int(n.max())) < n[:, None]
+    x, y = np.zeros((*real.shape, _N)), np.zeros(real.shape, int)
+    x[real], y[real] = features, labels
+    theta = np.zeros(_N + 4) if start is None else start
+    m, v = np.zeros(_N + 4), np.zeros(_N + 4)
     for step in range(1, rounds + 1):
-        content, move = _unpack(theta)
-        emit = np.stack([x @ content, np.zeros((d, t))], axis=2)
-        alpha, beta = np.zeros((d, t, 2)), np.zeros((d, t, 2))
-        alpha[:, 0] = emit[:, 0]
-        for i in range(1, t):
-            nxt = emit[:, i] + np.logaddexp.reduce(alpha[:, i - 1, :, None] + move, axis=1)
-            alpha[:, i] = np.where(real[:, i, None], nxt, alpha[:, i - 1])
-        for i in range(t - 2, -1, -1):
-            nxt = np.logaddexp.reduce(move + (emit[:, i + 1] + beta[:, i + 1])[:, None, :], axis=2)
-            beta[:, i] = np.where(real[:, i + 1, None], nxt, 0)
-        total = np.logaddexp.reduce(alpha[:, -1], axis=1)
-        one = np.exp(alpha + beta - total[:, None, None])[:, :, 0] * real
-        two = np.exp(alpha[:, :-1, :, None] + move + (emit + beta)[:, 1:, None, :] - total[:, None, None, None]) * pair[:, :, None, None]
-        grad = (want - np.concatenate([np.einsum("dt,dtf->f", one, x), two.sum((0, 1)).ravel()])) / scale - decay * theta
+        grad = likelihood(theta, x, real, y, decay)[1]
+        grad[_N:] *= moves
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta + 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return theta
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> np.ndarray:
+def relabel(theta: np.ndarray, features: np.ndarray, first: np.ndarray, words: np.ndarray, doc: np.ndarray, bad: np.ndarray, min_share: float) -> np.ndarray:
+    """Best labels of the lines of sequences with which each document (``doc`` of each sequence) has the content share that its label asks for."""
+    of = np.repeat(doc, np.diff(first))
+    have = np.bincount(of, weights=words, minlength=len(bad))
+    content, move = _unpack(theta)
+    score, push, step = features @ content, np.zeros(len(bad)), 1.0
+    for _ in range(8):
+        label = viterbi(np.stack([score + push[of], np.zeros(len(of))], axis=1), first, move)
+        share = np.bincount(of, weights=words * (label == 0), minlength=len(bad))
+        wrong = (share >= min_share * have) == bad
+        if not wrong.any():
+            return label
+        push[wrong] += np.where(bad[wrong], -step, step)
+        step *= 2
+    return np.where(wrong[of], bad[of], label).astype(np.int8)
+
+
+def _runs(n: int, most: int) -> list[tuple[int, int]]:
+    """Three runs of lines spread over a text of n lines, ``most`` lines in all; the whole text if it has no more."""
+    size = most // 3
+    return [(0, n)] if n <= most or not size else [(0, size), ((n - size) // 2, (n - size) // 2 + size), (n - size, n)]
+
+
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES, min_share: float = MIN_SHARE, turns: int = 3) -> np.ndarray:
     """CRF weights from the documents that ``labels`` (doc_id, quality) grades.
 
-    The sample is the ``train_docs`` labelled ids of least hash; labels without
+    The sample is the ``train_docs`` labelled ids of least hash, and of the rows
+    of an id that repeats the one whose text has the least hash; labels without
     an id or a grade are left out, and no labelled document gives ``PRIOR``.
     """
     sample = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -204,18 +240,29 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> np.
         for batch in batches:
             for part in slices(batch, "text"):
                 lines = Lines(part.column("text"))
-                packed = [np.packbits(lines.features[a : min(b, a + TRAIN_LINES)].astype(bool), axis=1).tobytes() for a, b in zip(lines.first[:-1], lines.first[1:])]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array(packed, pa.binary())], ["doc_id", "quality", "lines"])
-
-    used = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text")
-    found = used.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, lines binary").toArrow()
+                packed, words, sizes = [], [], []
+                for a, b in zip(lines.first[:-1].tolist(), lines.first[1:].tolist()):
+                    spans = [(a + i, a + j) for i, j in _runs(b - a, train_lines)]
+                    packed.append(b"".join(np.packbits(lines.features[i:j].astype(bool), axis=1).tobytes() for i, j in spans))
+                    words.append([int(w) for i, j in spans for w in lines.words[i:j]])
+                    sizes.append([j - i for i, j in spans])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array(packed, pa.binary()), pa.array(words, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int64()))], ["doc_id", "quality", "lines", "words", "sizes"])
+
+    used = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    found = used.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, lines binary, words array<bigint>, sizes array<bigint>").toArrow()
     if not found.num_rows:
         return PRIOR
     found = found.sort_by([("doc_id", "ascending")])
     width = (_N + 7) // 8
-    rows = [np.unpackbits(np.frombuffer(b, np.uint8).reshape(-1, width), axis=1)[:, :_N] for b in found.column("lines").to_pylist()]
-    first = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-    return train(np.concatenate(rows).astype(np.float64), first, found.column("quality").to_numpy() == 0)
+    features = np.unpackbits(np.frombuffer(b"".join(found.column("lines").to_pylist()), np.uint8).reshape(-1, width), axis=1)[:, :_N].astype(np.float64)
+    sizes = found.column("sizes").combine_chunks()
+    words = found.column("words").combine_chunks().flatten().to_numpy().astype(float)
+    first = np.concatenate([[0], np.cumsum(sizes.flatten().to_numpy())])
+    doc, bad = np.repeat(np.arange(found.num_rows), sizes.value_lengths().to_numpy()), found.column("quality").to_numpy() == 0
+    weights = train(features, first, np.repeat(bad[doc], np.diff(first)), moves=False)
+    for _ in range(turns):
+        weights = train(features, first, relabel(weights, features, first, words, doc, bad, min_share), weights, 30)
+    return weights
 
 
 SCHEMA = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, n_lines bigint, n_content_words bigint, line_labels string, kept boolean"
