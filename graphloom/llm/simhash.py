@@ -14,14 +14,16 @@ way down, and a pair of whole nodes is dropped once they exceed ``max_bits``,
 or once all their members are known to be in one component. Only links of a
 spanning forest leave a task, at most one row for each row it read.
 
-A group of more than ``group_limit`` fingerprints is dealt out by chunks, and
-each pair of chunks is a task of its own, so no task reads more than twice the
-limit of one group, and no link is lost.
+A group of more than ``group_limit`` fingerprints is split again: its members
+share the bits of their block, so linked ones share one of ``max_bits + 1`` parts
+of the bits left. Every split sends a fingerprint to as many groups as there are
+parts, and in the end the bits left allow no more fingerprints than the limit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +31,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from ..sources.shared import Tables
+from .common import row_key
 from .components import connected_components
-from .textbytes import LOWER, NOT_SPACE, find_words, slices
+from .textbytes import LOWER, NOT_SPACE, find_words, mix, slices
 
 SHINGLE_WORDS = 3
 SEED = 42
 MAX_BITS = 3
 GROUP_LIMIT = 20_000
 RUN_ROWS = 200_000
-#: Ids of kept rows are broadcast up to so many; beyond, they are joined by a shuffle
-BROADCAST_IDS = 1_000_000
 
 
 def text_fingerprints(column: pa.Array, words: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
@@ -70,16 +71,17 @@ def text_fingerprints(column: pa.Array, words: int = SHINGLE_WORDS, seed: int =
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
-    """(id, fingerprint): one row for each row of ``docs``; the fingerprint is a long with the 64 bits."""
+    """(id, row_key, fingerprint): one row for each row of ``docs``; the fingerprint is a long with the 64 bits."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 found = text_fingerprints(part.column("text"), words).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found)], ["id", "fingerprint"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("row_key"), pa.array(found)], ["id", "row_key", "fingerprint"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fingerprint bigint")
+    base = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
+    return base.mapInArrow(run, f"id {kind}, row_key bigint, fingerprint bigint")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -184,20 +186,46 @@ def _index_links(group: np.ndarray, value: np.ndarray, max_bits: int) -> tuple[n
     return index.value[away], index.value[label[away]]
 
 
+def _parts(shared: int, parts: int) -> list[int]:
+    """Masks of the bits outside ``shared``, in so many parts; none if there are too few bits."""
+    left = [b for b in range(64) if not shared >> b & 1]
+    edge = [len(left) * i // parts for i in range(parts + 1)]
+    return [sum(1 << b for b in left[i:j]) for i, j in zip(edge, edge[1:])] if len(left) >= parts else []
+
+
+def _split(groups: DataFrame, parts: int) -> DataFrame:
+    """(fingerprint, shared, grp): each row of ``groups`` once for each part of the bits that its group does not share yet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            value, shared, group = (batch.column(i).to_numpy().view(np.uint64) for i in range(3))
+            for mask in np.unique(shared).tolist():
+                own = shared == mask
+                for i, part in enumerate(_parts(mask, parts)):
+                    grp = mix(mix(group[own] ^ np.uint64(i + 1)) + (value[own] & np.uint64(part)))
+                    columns = value[own], np.full(own.sum(), mask | part, np.uint64), grp
+                    yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], ["fingerprint", "shared", "grp"])
+
+    return groups.select("fingerprint", "shared", "grp").mapInArrow(run, "fingerprint bigint, shared bigint, grp bigint")
+
+
 def fingerprint_links(distinct: DataFrame, max_bits: int = MAX_BITS, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """(a, b): links between the distinct fingerprints of ``distinct`` that span every component."""
-    blocks = max_bits + 1
-    edge = [64 * i // blocks for i in range(blocks + 1)]
-    parts = [F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("fingerprint", edge[i]).bitwiseAND(F.lit((1 << (edge[i + 1] - edge[i])) - 1)).alias("bits")) for i in range(blocks)]
-    keyed = distinct.select("fingerprint", F.explode(F.array(*parts)).alias("p")).select("fingerprint", F.xxhash64("p.i", "p.bits").alias("block"))
-    large = keyed.groupBy("block").count().where(F.col("count") > group_limit).select("block", F.ceil(F.col("count") / group_limit).alias("chunks"))
-    dealt = (
-        keyed.join(large, "block", "left")
-        .withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-        .withColumn("i", F.pmod(F.xxhash64("fingerprint"), F.col("chunks")))
-        .select("fingerprint", "block", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("j"))
-        .select(F.xxhash64("block", F.least("i", "j"), F.greatest("i", "j")).alias("grp"), "fingerprint")
-    )
+    tables, turn = Tables(distinct.sparkSession), 0
+    large, small = distinct.select("fingerprint", F.lit(0).cast("long").alias("shared"), F.lit(0).cast("long").alias("grp")), []
+    while True:
+        rows = tables.put(f"groups{turn}", _split(large, max_bits + 1))
+        size = rows.groupBy("grp").count()
+        small.append(rows.join(size.where(f"count > 1 and count <= {group_limit}"), "grp").select("grp", "fingerprint"))
+        # groups of fewer bits than parts hold a few fingerprints at most and stay as they are
+        large = rows.join(size.where(f"count > {group_limit}"), "grp")
+        stuck = F.bit_count("shared") > 64 - (max_bits + 1)
+        small.append(large.where(stuck).select("grp", "fingerprint"))
+        large = large.where(~stuck)
+        if size.where(f"count > {group_limit}").isEmpty():
+            break
+        turn += 1
+    dealt = reduce(DataFrame.unionByName, small)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -229,25 +257,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A null id takes no part in the least id and is null only where a component
     has no other. An empty table gives no rows. Other columns are ignored.
     """
-    prints = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    distinct = written(prints.groupBy("fingerprint").agg(F.min("id").alias("least")), "distinct")
-    links = written(fingerprint_links(distinct.select("fingerprint"), max_bits, group_limit), "near")
-    roots = connected_components(links)
-    rooted = distinct.join(roots, distinct.fingerprint == roots.id, "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
+    tables = Tables(docs.sparkSession)
+    prints, rooted = _rooted(docs, tables, id_col, text_col, words, max_bits, group_limit)
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    of = written(rooted.join(least, "root").select("fingerprint", "component"), "components")
+    of = tables.put("components", rooted.join(least, "root").select("fingerprint", "component"))
+    tables.keep("prints", "components")
     return prints.join(of, "fingerprint").select("id", "fingerprint", "component")
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of their component, one for each component.
+def _rooted(docs: DataFrame, tables: Tables, id_col: str, text_col: str, words: int, max_bits: int, group_limit: int) -> tuple[DataFrame, DataFrame]:
+    """(id, row_key, fingerprint) of each row, and (fingerprint, least, root): the least id and the component of each fingerprint."""
+    prints = tables.put("prints", fingerprints(docs, id_col, text_col, words))
+    distinct = tables.put("distinct", prints.groupBy("fingerprint").agg(F.min("id").alias("least")))
+    roots = connected_components(tables.put("near", fingerprint_links(distinct.select("fingerprint"), max_bits, group_limit)))
+    return prints, distinct.join(roots, distinct.fingerprint == roots.id, "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """One row of ``docs`` for each component, with its columns as they are.
 
-    Ids name documents: of rows that share an id one stays. Of rows without an
-    id one stays for each text.
+    It is the row of least id, rows without an id after all others; of rows
+    with one id and several texts that of least ``row_key``, and of rows that
+    repeat both any one. A row whose id another text has too stays if it is no
+    near copy.
     """
-    found = near_duplicates(docs, **options)
-    keep = written(found.groupBy("component").count().select(F.col("component").alias("doc_id")), "kept")
-    if keep.count() <= BROADCAST_IDS:
-        keep = F.broadcast(keep)
-    kept = docs.join(keep.where("doc_id is not null"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null").dropDuplicates(["text"])).select(docs.columns)
+    tables = Tables(docs.sparkSession)
+    prints, rooted = _rooted(docs, tables, id_col, text_col, words, max_bits, group_limit)
+    first = prints.join(rooted, "fingerprint").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key")).alias("at"))
+    kept = tables.put("kept", first.select(F.col("at.id").alias("_id"), F.col("at.row_key").alias("_row_key")))
+    tables.keep("kept")
+    keyed = docs.withColumn("_key", row_key(id_col, text_col))
+    chosen = keyed.join(kept, (F.col("_key") == F.col("_row_key")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    return chosen.dropDuplicates(["_key", id_col]).select(*(F.col(f"`{c}`") for c in docs.columns))

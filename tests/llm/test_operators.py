@@ -99,6 +99,13 @@ def test_drop_near_duplicates_keeps_one_of_each(odd):
     assert kept.columns == odd.columns
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [0, 3, 4, 5, 6, 7, 9]
     assert simhash.drop_near_duplicates(odd.limit(0)).count() == 0
+    again = odd.where("doc_id = 6 or doc_id = 9").withColumn("doc_id", F.lit(7).cast("long")).unionByName(odd).unionByName(odd).withColumnRenamed("doc_id", "row_key")
+    kept = simhash.drop_near_duplicates(again, id_col="row_key")  # ids that several texts share, under another name
+    assert kept.columns == again.columns
+    texts = lambda df: sorted(r.text or "" for r in df.select("text").collect())
+    assert texts(kept) == texts(simhash.drop_near_duplicates(odd)) and kept.where("row_key = 7").count() == 3
+    other = odd.where("doc_id = 5").withColumn("doc_id", F.lit(4).cast("long")).unionByName(odd.where("doc_id = 4"))
+    assert simhash.drop_near_duplicates(other).count() == 2
 
 
 def contaminated_by_hand(rows, items):
