@@ -4,7 +4,10 @@ Texts are cut before each run of spaces, where no piece of the vocabulary can
 reach across, and each distinct chunk of a slice is segmented once. Chunks of
 one length advance together, a character a step: the hashes of the substrings
 that end there probe the sorted keys of the pieces, and the maximum over the
-substring lengths stores a backpointer for every chunk.
+substring lengths stores a backpointer for every chunk. A long chunk without
+spaces is first cut wherever no piece holds the two neighbouring characters, as
+no piece can reach across. What is longer than ``LONG_CHUNK`` even then probes
+all its substrings of a length at once and takes its maxima one by one.
 
 Scores: a unigram model's own log-probabilities (``scores="model"``). The
 scores of a BPE model are merge ranks and no probabilities, so by default a
@@ -33,6 +36,9 @@ SPACE = "▁"
 SLICE_CHARS = 2 << 20
 #: Distinct chunks that a task remembers between slices
 REMEMBER = 100_000
+#: Chunks from this length are cut between characters that no piece joins
+CUT_CHUNK = 32
+LONG_CHUNK = 1024
 _CHUNK = re.compile(" *[^ ]+| +")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -85,6 +91,8 @@ class Encoder:
         self.keys, self.ids, self.scores = keys[order], own[order].astype(np.int32), v.scores[own[order]]
         self.lengths = sorted(by_length, reverse=True)
         self.byte_score = float(v.scores[v.usable].min()) - 10.0
+        joined = {a << 32 | b for i in ids for a, b in zip(map(ord, v.pieces[i]), map(ord, v.pieces[i][1:]))}
+        self.joined = np.array(sorted(joined), np.int64)  # pairs of characters that some piece holds
         self.known: dict[str, bytes] = {}  # ids of a chunk as little-endian 32-bit integers
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[_place(self.keys)] = True
@@ -95,6 +103,8 @@ class Encoder:
         counts = []
         for text in texts:
             found = _CHUNK.findall(" " + text) if text else []
+            if any(len(c) >= CUT_CHUNK for c in found):
+                found = [part for c in found for part in (self._cut(c) if len(c) >= CUT_CHUNK else (c,))]
             chunks += found
             counts.append(len(found))
         if len(self.known) > REMEMBER:
@@ -106,10 +116,57 @@ class Encoder:
         total = np.concatenate([[0], np.cumsum(sizes)])
         return np.frombuffer(b"".join(parts), "<i4"), total[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
 
+    def _cut(self, chunk: str) -> list[str]:
+        """The parts of a chunk between neighbours that no piece holds."""
+        plain = chunk.replace(SPACE, "\uffff").replace(" ", SPACE)
+        codes = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        pairs = codes[:-1] << 32 | codes[1:]
+        at = np.minimum(np.searchsorted(self.joined, pairs), len(self.joined) - 1)
+        cuts = [0, *(np.flatnonzero(self.joined[at] != pairs) + 1).tolist(), len(chunk)]
+        return [chunk[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _single(self, chunk: str) -> bytes:
+        """Ids of one long chunk: the same search, with the probes of a length for all places at once."""
+        plain = chunk.replace(SPACE, "\uffff").replace(" ", SPACE)
+        n = len(plain)
+        codes = np.frombuffer(plain.encode("utf-32-le"), "<u4").reshape(1, n)
+        sums = _prefix_sums(codes)[0]
+        undo = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _INVERSE)]), dtype=np.uint64)
+        hits: list[tuple[np.ndarray, np.ndarray]] = []
+        for length in self.lengths:
+            if length <= n:
+                key = (sums[length:] - sums[:-length]) * undo[: n + 1 - length] + _salt(length)
+                begin = np.flatnonzero(self.maybe[_place(key)])
+                at = np.minimum(np.searchsorted(self.keys, key[begin]), len(self.keys) - 1)
+                real = self.keys[at] == key[begin]
+                hits.append((np.stack([begin[real] + length, np.full(real.sum(), length)]), at[real]))
+        where, at = np.concatenate([h[0] for h in hits], axis=1), np.concatenate([h[1] for h in hits])
+        order = np.argsort(where[0], kind="stable")  # at each end the longest first
+        first = np.searchsorted(where[0][order], np.arange(n + 2)).tolist()
+        length, score, piece = where[1][order].tolist(), self.scores[at[order]].tolist(), self.ids[at[order]].tolist()
+        sizes = [self.byte_score * len(c.encode()) for c in plain]
+        best, back, took = [0.0] * (n + 1), [1] * (n + 1), [-1] * (n + 1)
+        for e in range(1, n + 1):
+            top = best[e - 1] + sizes[e - 1]
+            for i in range(first[e], first[e + 1]):
+                s = best[e - length[i]] + score[i]
+                if s > top:
+                    top, back[e], took[e] = s, length[i], piece[i]
+            best[e] = top
+        out: list[int] = []
+        e = n
+        while e:
+            out += [took[e]] if took[e] >= 0 else self.v.byte_ids[list(chunk[e - 1].encode())[::-1]].tolist()
+            e -= back[e]
+        return np.array(out[::-1], "<i4").tobytes()
+
     def _segment(self, chunks: list[str]) -> None:
         by_length: dict[int, list[str]] = {}
         for c in chunks:
             n = len(c)
+            if n > LONG_CHUNK:
+                self.known[c] = self._single(c)
+                continue
             room = n if n <= 32 else -(-n // 8) * 8 if n <= 128 else 1 << (n - 1).bit_length()
             by_length.setdefault(room, []).append(c)
         for room, group in by_length.items():
