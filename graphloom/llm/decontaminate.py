@@ -13,6 +13,11 @@ over the words kept with it, so that hashes only propose and words decide.
 Items shorter than a window form a class for each length (12 at most) with
 k-grams no longer than the item.
 
+Equal fingerprints with equal words around them are one row with its places, in a
+document as well as among the items, so that a word or a phrase that repeats does
+not multiply. Each place is extended as far as any item lets it, and the runs of
+hit words are merged in one pass over each document's sorted places.
+
 Documents are first held against a bitmap of the items' fingerprints. Its size
 is fixed, whatever the benchmark's; it only thins what is sent to the join.
 """
@@ -35,7 +40,7 @@ GRAM = 6
 BITMAP_LOG2 = 22
 _NONE = ~np.uint64(0)
 
-HITS = "array<struct<key:bigint,need:int,pos:int,gram:string,left:array<string>,right:array<string>>>"
+HITS = "array<struct<key:bigint,need:int,places:array<int>,gram:string,left:array<string>,right:array<string>>>"
 
 
 def _gram_of(need: int) -> int:
@@ -69,14 +74,19 @@ def winnow(w: Words, hashes: np.ndarray, need: int) -> tuple[np.ndarray, np.ndar
 
 
 def _hits(w: Words, at: np.ndarray, keys: np.ndarray, need: int) -> list[tuple[int, dict]]:
+    """(text, fingerprint) for each distinct fingerprint of a text with the words around it, with all its places."""
     k, reach = _gram_of(need), need - _gram_of(need)
     doc = np.searchsorted(w.first, at, "right") - 1
-    out = []
+    found: dict[tuple, list[int]] = {}
     for i, key, d in zip(at.tolist(), keys.tolist(), doc.tolist()):
         lo, hi = int(w.first[d]), int(w.first[d + 1])
         a, b = max(lo, i - reach), min(hi, i + k + reach)
-        words = [w.data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(w.start[a:b].tolist(), w.end[a:b].tolist())]
-        out.append((d, {"key": key, "need": need, "pos": i - lo, "gram": " ".join(words[i - a : i - a + k]), "left": words[: i - a][::-1], "right": words[i - a + k :]}))
+        words = tuple(w.data[s:e].tobytes() for s, e in zip(w.start[a:b].tolist(), w.end[a:b].tolist()))
+        found.setdefault((d, key, i - a, words), []).append(i - lo)
+    out = []
+    for (d, key, ahead, words), places in found.items():
+        text = [x.decode("utf-8", "replace") for x in words]
+        out.append((d, {"key": key, "need": need, "places": places, "gram": " ".join(text[ahead : ahead + k]), "left": text[:ahead][::-1], "right": text[ahead + k :]}))
     return out
 
 
@@ -106,7 +116,7 @@ def _scan(df: DataFrame, extra: str, needs, bitmap=None) -> DataFrame:
     return df.select(*names, "text").mapInArrow(run, f"{extra}, n_words bigint, hits {HITS}")
 
 
-_HITS_ARROW = pa.list_(pa.struct([("key", pa.int64()), ("need", pa.int32()), ("pos", pa.int32()), ("gram", pa.string()), ("left", pa.list_(pa.string())), ("right", pa.list_(pa.string()))]))
+_HITS_ARROW = pa.list_(pa.struct([("key", pa.int64()), ("need", pa.int32()), ("places", pa.list_(pa.int32())), ("gram", pa.string()), ("left", pa.list_(pa.string())), ("right", pa.list_(pa.string()))]))
 
 
 def _bitmap(prints: DataFrame) -> bytes:
@@ -125,48 +135,56 @@ def _same(a: str, b: str):
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id, row_key, n_words, n_hit, items, spans): a row for each distinct (id, text) of ``docs``.
+    """(id, row_key, n_words, n_hit, items, spans): a row for each row of ``docs``.
 
     ``items`` are the ids, as sorted strings, of the benchmark items with a
     window in the document, ``spans`` the maximal runs of hit words as
     (first word, word after the last). Null and empty texts have no words and
     no hits, and an item without words has no window. With an empty benchmark
-    nothing is hit. Rows that repeat id and text give one row; the same id
-    with another text gives its own row. A null id is kept as it is; an item
-    with a null id counts towards n_hit, not towards ``items``.
+    nothing is hit, an empty table gives no rows. Repeated rows each return; the
+    same id with another text is another document. A null id is kept as it is;
+    an item with a null id counts towards n_hit, not towards ``items``.
     """
     spark = docs.sparkSession
     items = _scan(benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).distinct(), "item string", None)
-    prints = written(items.select("item", F.explode("hits").alias("h")).select("item", "h.*"), "bench")
+    prints = items.select("item", F.explode("hits").alias("h")).groupBy("h.key", "h.need", "h.gram", "h.left", "h.right").agg(F.collect_set("item").alias("item"))
+    prints = written(prints, "bench")
     needs = [r[0] for r in prints.select("need").distinct().collect()]  # 13 values at most
     bitmap = spark.sparkContext.broadcast(_bitmap(prints.select("key").distinct()))
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
-    found = _scan(base, f"id {kind}, row_key bigint", needs, bitmap).select("id", "row_key", "n_words", F.explode_outer("hits").alias("h"))
-    found = found.select("id", "row_key", "n_words", "h.*").withColumn("key", F.coalesce("key", "row_key"))  # rows without hits spread out
-    bench = prints.select("key", "need", "item", *(F.col(c).alias(f"b_{c}") for c in ("gram", "left", "right")))
-    joined = (
-        found.join(bench, ["key", "need"], "left")
-        .withColumn("start", F.col("pos") - _same("left", "b_left"))
-        .withColumn("end", F.col("pos") + F.least("need", F.lit(GRAM)) + _same("right", "b_right"))
-    )
-    hit = (F.col("gram") == F.col("b_gram")) & (F.col("end") - F.col("start") >= F.col("need"))
-    by_doc = joined.groupBy("id", "row_key").agg(
-        F.max("n_words").alias("n_words"),
-        F.collect_set(F.when(hit, F.struct("start", "end"))).alias("spans"),
-        F.collect_set(F.when(hit, F.col("item"))).alias("items"),
-    )
-    merged = F.expr(
-        "aggregate(array_sort(spans), cast(array() as array<struct<start:bigint,end:bigint>>), (done, s) -> "
-        "if(size(done) > 0 and element_at(done, -1).end >= s.start, "
-        "concat(slice(done, 1, size(done) - 1), array(named_struct('start', element_at(done, -1).start, 'end', greatest(element_at(done, -1).end, s.end)))), "
-        "concat(done, array(s))))"
-    )
-    return by_doc.withColumn("spans", merged).select(
-        "id", "row_key", "n_words",
-        F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_hit"),
-        F.array_sort("items").alias("items"), "spans",
-    )
+    found = written(_scan(base, f"id {kind}, row_key bigint", needs, bitmap), "hits")
+    rows = found.groupBy("id", "row_key").agg(F.max("n_words").alias("n_words"), F.count("*").alias("times"))
+    bench = prints.select("key", "need", F.col("item").alias("items"), *(F.col(c).alias(f"b_{c}") for c in ("gram", "left", "right")))
+    met = found.select("id", "row_key", F.explode("hits").alias("h")).select("id", "row_key", "h.*").join(bench, ["key", "need"]).where(F.col("gram") == F.col("b_gram"))
+    met = met.withColumns({"before": _same("left", "b_left"), "after": F.least("need", F.lit(GRAM)) + _same("right", "b_right")}).where("before + after >= need")
+    hits = met.groupBy("id", "row_key").agg(F.collect_set(F.struct("places", "before", "after")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    hits = hits.select(F.col("id").alias("_id"), F.col("row_key").alias("_key"), "hits", "items")
+    both = rows.join(hits, (F.col("row_key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id")), "left")
+    none = F.array().cast("array<string>")
+    merged = _merged(both.withColumn("items", F.coalesce("items", none)), kind)
+    return merged.withColumn("_each", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("_each", "times")
+
+
+def _merged(by_doc: DataFrame, kind: str) -> DataFrame:
+    """Adds n_hit and spans: the union of the places' reaches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_hit, spans = [], []
+            for hits in (x or [] for x in batch.column("hits").to_pylist()):
+                starts = np.array([p - h["before"] for h in hits for p in h["places"]], np.int64)
+                ends = np.array([p + h["after"] for h in hits for p in h["places"]], np.int64)
+                order = np.argsort(starts, kind="stable")
+                starts, ends = starts[order], np.maximum.accumulate(ends[order]) if len(order) else ends
+                new = np.concatenate([[True], starts[1:] > ends[:-1]])[: len(starts)]
+                first, last = starts[new], ends[np.append(np.flatnonzero(new)[1:] - 1, len(ends) - 1)] if len(ends) else ends
+                n_hit.append(int((last - first).sum()))
+                spans.append([{"start": a, "end": b} for a, b in zip(first.tolist(), last.tolist())])
+            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("id", "row_key", "n_words", "times", "items")] + [pa.array(n_hit, pa.int64()), pa.array(spans, span)], ["id", "row_key", "n_words", "times", "items", "n_hit", "spans"])
+
+    return by_doc.select("id", "row_key", "n_words", "times", "hits", "items").mapInArrow(run, f"id {kind}, row_key bigint, n_words bigint, times bigint, items array<string>, n_hit bigint, spans array<struct<start:bigint,end:bigint>>")
 
 
 def is_contaminated() -> Column:
@@ -175,7 +193,9 @@ def is_contaminated() -> Column:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with their columns as they are."""
-    bad = written(contamination(docs, benchmark, **options).where(is_contaminated()).select("row_key"), "contaminated")
-    key = row_key(options.get("id_col", "doc_id"), options.get("text_col", "text"))
-    return docs.join(bad.withColumnRenamed("row_key", "_row_key"), key == F.col("_row_key"), "left_anti")
+    """The rows of ``docs`` that are not contaminated, with their columns as they are; rows that repeat stay or go together."""
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    bad = contamination(docs, benchmark, **options).where(is_contaminated()).select(F.col("id").alias("_id"), F.col("row_key").alias("_row_key"))
+    bad = written(bad, "contaminated")
+    same = (row_key(id_col, text_col) == F.col("_row_key")) & F.col(id_col).eqNullSafe(F.col("_id"))
+    return docs.join(bad, same, "left_anti")
