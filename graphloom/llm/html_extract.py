@@ -3,10 +3,11 @@
 Elements that are never main text (by tag, or by class or id) are left out with
 all they hold. Each block of text that remains gives points for its length and
 its commas to the elements around it, fewer the further out, and an element's
-points are discounted by the share of its text inside links. The element with
-the most points, or the article or main element around it, is kept, and with it
-those of its siblings that score well, and the headings, paragraphs, lists,
-quotes, tables and articles beside it that hold few links.
+points are discounted by the share of its text inside links. An article or main
+element counts twice. The element with the most points is kept, or the article or
+main element around it if that scores well, and with it those of its siblings
+that score well and hold few links, and the headings, paragraphs, lists, quotes,
+tables and articles beside it that hold few links.
 
 A class or id only makes an element suspect. It stays if the name also has a
 word for content, or if it holds most of the page's text outside links, with
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,6 +42,8 @@ CONTENT = frozenset("article body content entry main post".split())
 #: Kept beside the best element, if few of their characters are in links
 BESIDE = frozenset("article blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_HOLDS_TEXT = _HEADINGS | {"p", "li", "pre"}
+_COMMAS = ",\u060c\u3001\uff0c"
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 #: Quotes count only after ``=``
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=)*)(?:>|\Z)", re.S)
@@ -50,10 +54,11 @@ SIBLING_SHARE = 0.2
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "dead", "suspect", "score", "chars", "linked", "prose")
+    __slots__ = ("tag", "parent", "dead", "suspect", "in_main", "score", "chars", "linked", "prose")
 
     def __init__(self, tag: str, parent: _Node | None, dead: bool, suspect: int = 0):
         self.tag, self.parent, self.dead, self.suspect = tag, parent, dead, suspect
+        self.in_main = tag in MAIN or (parent is not None and parent.in_main)
         self.score, self.chars, self.linked, self.prose = 0.0, 0, 0, False
 
 
@@ -80,10 +85,7 @@ def _skipped(tag: str, attrs: str, parent: _Node) -> bool:
     if tag in NEVER:
         return True
     if tag in OUTSIDE_ARTICLE:
-        node: _Node | None = parent
-        while node is not None and node.tag not in MAIN:
-            node = node.parent
-        return node is None
+        return not parent.in_main
     if tag in ("body", "html", "article", "main") or not attrs.strip():
         return False
     for name, *values in _ATTR.findall(attrs):
@@ -93,46 +95,35 @@ def _skipped(tag: str, attrs: str, parent: _Node) -> bool:
     return False
 
 
-def _blocks(source: str) -> list[tuple[_Node, str]]:
-    """The text blocks of a page in order, each with the element it stands in; scores the elements."""
-    found = _all_blocks(source)
-    for node, block, links in found:
-        prose = node.tag in _HEADINGS or node.tag == "p"
-        up: _Node | None = node
-        while up is not None:
-            up.chars, up.linked, up.prose = up.chars + len(block), up.linked + links, up.prose or prose
-            root, up = up, up.parent
-    if not found:
-        return []
-    most = (root.chars - root.linked) / 2
-    drop: dict[int, bool] = {}
-
-    def dropped(node: _Node) -> bool:
-        chain = []
-        up: _Node | None = node
-        while up is not None and id(up) not in drop:
-            chain.append(up)
-            up = up.parent
-        gone = up is not None and drop[id(up)]
-        for x in reversed(chain):
-            gone = gone or (x.suspect > 0 and (x.suspect == 2 or not x.prose or x.chars - x.linked <= most))
-            drop[id(x)] = gone
-        return gone
-
-    left = [x for x in found if not dropped(x[0])]
-    for node, _, _ in found:
-        up = node
-        while up is not None and up.chars:
-            up.chars = up.linked = 0
-            up = up.parent
-    for node, block, links in left:
-        _pass_points(node, len(block), block.count(",") + block.count("\u060c") + block.count("\u3001"), links)
-    return [(node, block) for node, block, _ in left]
-
-
-def _all_blocks(source: str) -> list[tuple[_Node, str, int]]:
-    """All text blocks outside dropped tags, each with its element and the number of its characters in links."""
+def _gather(nodes: list[_Node], blocks: list[tuple[_Node, str, int]]) -> None:
+    """Characters, linked characters and prose of each element with all that it holds; inner elements come after outer ones."""
+    for x in nodes:
+        x.chars, x.linked, x.prose = 0, 0, False
+    for node, block, links in blocks:
+        node.chars, node.linked, node.prose = node.chars + len(block), node.linked + links, node.prose or node.tag in _HEADINGS or node.tag == "p"
+    for x in reversed(nodes[1:]):
+        up = x.parent
+        up.chars, up.linked, up.prose = up.chars + x.chars, up.linked + x.linked, up.prose or x.prose
+
+
+def _blocks(source: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
+    """The elements of a page, outer ones first, and its text blocks in order, each with the element it stands in; scores the elements."""
+    nodes, found = _all_blocks(source)
+    _gather(nodes, found)
+    most = (nodes[0].chars - nodes[0].linked) / 2
+    for x in nodes[1:]:
+        x.dead = x.dead or x.parent.dead or (x.suspect > 0 and (x.suspect == 2 or not x.prose or x.chars - x.linked <= most))
+    left = [b for b in found if not b[0].dead]
+    _gather(nodes, left)
+    for node, block, _ in left:
+        _pass_points(node, len(block), sum(map(block.count, _COMMAS)))
+    return nodes, [(node, block) for node, block, _ in left]
+
+
+def _all_blocks(source: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
+    """The elements, and all text blocks outside dropped tags, each with its element and the number of its characters in links."""
     root = _Node("", None, False)
+    nodes, open_tags = [root], Counter()
     node, found, text, link, links = root, [], [], 0, 0
     at = 0
 
@@ -162,74 +153,70 @@ def _all_blocks(source: str) -> list[tuple[_Node, str, int]]:
             elif tag == "a":
                 link = 0 if closing else 1
         elif closing:
-            up: _Node | None = node
-            while up is not None and up.tag != tag:
-                up = up.parent
             flush()
-            if up is not None and up.parent is not None:
-                node, link = up.parent, 0
+            if open_tags[tag]:  # else nothing to close
+                link, last = 0, ""
+                while last != tag:
+                    last, node = node.tag, node.parent
+                    open_tags[last] -= 1
         else:
             flush()
-            if tag in CLOSES_P and node.tag == "p":
-                node = node.parent
-            elif tag in SAME and node.tag in SAME[tag]:
+            if (tag in CLOSES_P and node.tag == "p") or (tag in SAME and node.tag in SAME[tag]):
+                open_tags[node.tag] -= 1
                 node = node.parent
             if tag not in VOID:
+                open_tags[tag] += 1
                 node = _Node(tag, node, node.dead or _skipped(tag, m[3] or "", node), 0 if tag in ("body", "html", *MAIN) or not m[3].strip() else _suspect(m[3]))
+                nodes.append(node)
     if at < len(source) and not node.dead:
         text.append(source[at:])
     flush()
-    return found
+    return nodes, found
 
 
-def _pass_points(node: _Node, chars: int, commas: int, linked: int) -> None:
-    points, up, share = 1 + commas + min(chars / 100, 3.0), node if node.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre") else node.parent, 1.0
-    above: _Node | None = node
-    while above is not None:
-        above.chars += chars
-        above.linked += linked
-        above = above.parent
+def _pass_points(node: _Node, chars: int, commas: int) -> None:
+    """A block's points for the elements around it, fewer the further out."""
+    points, up, share = 1 + commas + min(chars / 100, 3.0), node if node.tag not in _HOLDS_TEXT else node.parent, 1.0
     while up is not None and share > 0.1:
         up.score += points * share
         up, share = up.parent, share / 2
 
 
+def value(node: _Node) -> float:
+    """An element's points, less the share of its text in links; an article or main element counts twice."""
+    return node.score * (1 - node.linked / max(node.chars, 1)) * (2 if node.tag in MAIN else 1)
+
+
 def main_text(source: str | None) -> str:
     """Main text of a page: its blocks joined by newlines, white space in a block as one space."""
-    found = _blocks(source or "")
+    nodes, found = _blocks(source or "")
     if not found:
         return ""
-    value = lambda n: n.score * (1 - n.linked / max(n.chars, 1)) * (2 if n.tag in MAIN else 1)
-    best, seen = None, set()
-    for node, _ in found:
-        up: _Node | None = node
-        while up is not None and id(up) not in seen:
-            seen.add(id(up))
-            if best is None or value(up) > value(best):
-                best = up
-            up = up.parent
-    top, up = best, best
-    while up is not None:
-        top, up = (up if up.tag in MAIN else top), up.parent
-    least = max(1.0, value(best) * SIBLING_SHARE)
+    # of equal elements the inner one that comes first
+    best = max(reversed(nodes), key=lambda n: (value(n) if n.chars else -1.0))
+    top, up, least = best, best.parent, max(1.0, value(best) * SIBLING_SHARE)
+    while up is not None:  # the article around the best part of it, if it holds up against it
+        if up.tag in MAIN and value(up) >= least:
+            top = up
+        up = up.parent
     few_links = lambda n: n.linked * 4 < n.chars
-    out = []
-    for node, block in found:
-        up, below, beside = node, None, None
-        while up is not None and up is not top and below is None:
-            if up.tag in BESIDE:
-                beside = up
-            if up.parent is top.parent:
-                below = up
-            up = up.parent
-        keep = up is top
-        if below is not None:  # a sibling, or in one
-            keep = few_links(below) and beside is not None and few_links(beside) or (top.tag not in MAIN and value(below) >= least)
-        elif not keep:  # the title may stand further out
-            keep = beside is not None and beside.tag == "h1" and few_links(beside)
-        if keep:
-            out.append(block)
-    return "\n".join(out)
+    # what each element is to the top: in it, the sibling it stands in, the outermost element of BESIDE around it
+    inside, below, beside = {}, {None: None}, {None: None}
+    for x in nodes:
+        inside[x] = x is top or inside.get(x.parent, False)
+        is_sibling = x.parent is top.parent and x is not top and x.parent is not None
+        below[x] = x if is_sibling else below[x.parent]
+        around = None if is_sibling else beside[x.parent]
+        beside[x] = around or (x if x.tag in BESIDE else None)
+    kept = {}
+    for x in nodes:
+        if inside[x]:
+            kept[x] = True
+        elif below[x] is not None:
+            kept[x] = few_links(below[x]) and ((beside[x] is not None and few_links(beside[x])) or value(below[x]) >= least)
+        else:  # the title may stand further out
+            kept[x] = beside[x] is not None and beside[x].tag == "h1" and few_links(beside[x])
+    return "\n".join(block for node, block in found if kept[node])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
@@ -237,7 +224,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
 
     A null or empty page, or one without main text, gives an empty text.
     Repeated rows each return; an empty table gives no rows; other columns are
-    ignored. Whole pages are read, cut off or not.
+    ignored. Whole pages are read, cut off or not; time and memory grow with a
+    page's length, however deep its elements are nested.
     """
     names = [id_col, *keep]
     types = [pages.schema[c].dataType.simpleString() for c in names]

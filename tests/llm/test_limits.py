@@ -59,3 +59,30 @@ def test_fifty_thousand_nested_tags():
     wide = "<div><header>h</header><p>a, b" * 20_000
     assert html_extract.main_text("<article>" + wide).count("a, b") == 20_000
     assert time.time() - began < 60
+
+
+def test_scores_equal_a_climb_from_each_block():
+    pick = random.Random(9)
+    for _ in range(60):
+        page = "".join(pick.choice(["<div>", "</div>", "<p>", "<section>", "</section>", "<ul><li>", "</ul>", "<a href=/>li, nk</a>", "word, and ", "text ", "<article>", "</article>", "<h2>", "<div class=menu>"]) for _ in range(80))
+        nodes, found = html_extract._all_blocks(page)
+        html_extract._gather(nodes, found)
+        for x in nodes:
+            around = lambda n: [n] + (around(n.parent) if n.parent else [])
+            mine = [(b, k) for n, b, k in found if x in around(n)]
+            assert (x.chars, x.linked) == (sum(len(b) for b, _ in mine), sum(k for _, k in mine))
+        nodes, left = html_extract._blocks(page)
+        for x in nodes:
+            want = 0.0
+            for n, b in left:
+                up = n.parent if n.tag in html_extract._HOLDS_TEXT else n
+                for far in range(4):
+                    want += (1 + b.count(",") + min(len(b) / 100, 3.0)) / 2**far if up is x else 0
+                    up = up.parent if up else None
+            assert x.score == pytest.approx(want)
+
+
+def test_scores_find_the_article_without_its_tag(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    for html in pages:
+        assert html_extract.main_text(html.replace("<article", "<div").replace("</article", "</div")) == html_extract.main_text(html)
