@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 @dataclass(frozen=True)
@@ -92,16 +93,11 @@ def format_chats(turns: DataFrame, template: Template = DEFAULT, id_col: str = "
                 at += 1
             yield _rows(out, schema)
 
-    schema = [("id", turns.schema[id_col].dataType), ("turn_index", pa.int64()), ("part", pa.int32()), ("segment", pa.string()), ("loss", pa.bool_()), ("state", pa.string())]
-    schema[0] = ("id", _arrow(kind))
+    schema = [("id", to_arrow_type(turns.schema[id_col].dataType)), ("turn_index", pa.int64()), ("part", pa.int32()), ("segment", pa.string()), ("loss", pa.bool_()), ("state", pa.string())]
     base = turns.select(F.col(id_col).alias("id"), "turn", "role", "text")
     return _ordered(base, "id", "turn", "role", "text").mapInArrow(run, f"id {kind}, {SEGMENTS}").withColumnRenamed("id", id_col)
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def _rows(rows: list[tuple], schema) -> pa.RecordBatch:
     columns = zip(*rows) if rows else ([] for _ in schema)
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(columns, schema)], [n for n, _ in schema])
@@ -116,10 +112,12 @@ def read_chats(segments: DataFrame, template: Template = DEFAULT, id_col: str =
     Roles and texts are parsed from the segments' text alone; text is held only
     until its turn ends. ``turns_sha256`` is over role, newline, text and
     newline of each turn; ``loss_*`` are over the unescaped text under the
-    loss. Text that is not in the template's format is an error.
+    loss. Text that is not in the template's format is an error. An empty table
+    gives no rows. A null id is an id like any other: all its rows go to one
+    task, which streams them.
     """
     kind = segments.schema[id_col].dataType.simpleString()
-    schema = [("id", _arrow(kind)), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("valid", pa.bool_())]
+    schema = [("id", to_arrow_type(segments.schema[id_col].dataType)), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("valid", pa.bool_())]
 
     class Reading:
         def __init__(self, conv):

@@ -89,6 +89,9 @@ def _term_seen(terms, value) -> str:
     return " + ".join(rf"CASE WHEN regexp_matches(m, '[^\p{{L}}\p{{N}}]{t}[^\p{{L}}\p{{N}}]') THEN {value(t)} ELSE 0 END" for t in terms)
 
 
+_STRICT = [t for t, w in url_filter.VOCABULARY.items() if w >= 1]
+_SOFT = {t: w for t, w in url_filter.VOCABULARY.items() if w < 1}
+
 OP2_SQL = f"""
 WITH p AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
 a AS (SELECT page_id, regexp_replace({_FOLD.format("url")}, '([^\\p{{L}}\\p{{N}}])', '\\1\\1', 'g') AS m0,
@@ -101,12 +104,12 @@ c AS (SELECT *,
        WHEN (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/en/') THEN 'com/en/'
        WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/de/') THEN 'net/de/'
        WHEN (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/es/') THEN 'org/es/' END AS rule,
-  CAST({_term_hits(url_filter.STRICT)} AS BIGINT) AS n_strict, CAST({_term_hits(url_filter.SOFT)} AS BIGINT) AS n_soft,
-  CAST({_term_seen(url_filter.SOFT, lambda t: 1)} AS BIGINT) AS n_distinct_soft,
-  CAST({_term_seen({**url_filter.STRICT, **url_filter.SOFT}, {**url_filter.STRICT, **url_filter.SOFT}.get)} AS DOUBLE) AS weight FROM b)
+  CAST({_term_hits(_STRICT)} AS BIGINT) AS n_strict, CAST({_term_hits(_SOFT)} AS BIGINT) AS n_soft,
+  CAST({_term_seen(_SOFT, lambda t: 1)} AS BIGINT) AS n_distinct_soft,
+  round(CAST({_term_seen(_SOFT, _SOFT.get)} AS DOUBLE), 6) AS weight FROM b)
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-       WHEN n_strict > 0 OR n_distinct_soft >= 2 THEN 'block' ELSE 'allow' END AS verdict,
+       WHEN n_strict > 0 OR (n_distinct_soft >= {url_filter.DISTINCT_SOFT} AND weight >= {url_filter.SOFT_WEIGHT}) THEN 'block' ELSE 'allow' END AS verdict,
   n_strict, n_soft, n_distinct_soft, weight FROM c"""
 
 OP4_SQL = r"""

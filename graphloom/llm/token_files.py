@@ -19,6 +19,7 @@ step t codes id t of every block with the same few numpy operations.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -30,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..sources.shared import new_folder
 
@@ -37,6 +39,8 @@ BLOCK_IDS = 2048
 ROW_IDS = 8 * BLOCK_IDS
 LANES = 4096
 END_ID = 2
+#: The symbols of the coder are made for ids of 16 bits
+MOST_IDS = 1 << 16
 #: Runs of text that a worker remembers the ids of, about 200 MB
 _REMEMBER = 1 << 20
 #: Runs of text that are looked up together, or those of one text
@@ -44,6 +48,8 @@ _RUNS = 1 << 17
 _MARK = "\x1f"
 #: A run of Latin letters (but U+0130, whose lower case has a mark), then ASCII punctuation (no apostrophe, which may start a suffix)
 _WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!#$%&*+,./:;<=>?@^_|~-]*)")
+#: Fixed value: the pre-tokens under which a run can be looked up in parts
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _TABLE_BITS = 10
 _TABLE = 1 << _TABLE_BITS
 _FIRST, _MIDDLE = 10, 32  # symbols: order 2, order 1 or one of 8 upper parts; the middle part
@@ -199,7 +205,9 @@ class _Model:
 
 
 def encode_blocks(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """Payload of each block; block i has the next ``sizes[i]`` of the ids (below 65,536)."""
+    """Payload of each block; block i has the next ``sizes[i]`` of the ids. Ids of ``MOST_IDS`` and more are an error."""
+    if len(ids) and int(ids.max()) >= MOST_IDS:
+        raise ValueError(f"id {int(ids.max())} does not fit: the coder's ids are below {MOST_IDS}")
     order = np.argsort(-sizes, kind="stable")
     begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
     out: list[bytes] = [b""] * len(sizes)
@@ -236,11 +244,14 @@ class TextEncoder:
     """Ids of whole texts from a tokenizer file, with an end id after each.
 
     The tokenizers library encodes every run of characters between ASCII white
-    space; runs that come again are looked up. That gives the ids of the whole
-    text where white space always parts words and has no ids of its own, which
-    a probe finds out. Any other tokenizer gets the whole texts. A new run of
-    letters and punctuation behind them is looked up as those two, in lower
-    case, where a second probe finds that this changes no id.
+    space; runs that come again are looked up. A new run of letters and
+    punctuation behind them is looked up as those two, in lower case. Both give
+    the ids of the whole text for a tokenizer whose file declares what follows:
+    NFC, white space as spaces, lower case; pre-tokens of letters or of
+    punctuation, never of white space; a byte-level model that merges inside a
+    pre-token only. NFC joins no character with white space or punctuation, and
+    commutes with lower case for the letters of ``_WORD``. Two probes check the
+    same on samples. Any other tokenizer gets the whole texts.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -251,7 +262,7 @@ class TextEncoder:
         self.seen: dict[bytes, bytes] = {}
         mark = self._ids([_MARK])[0]
         self.mark = mark[0] if len(mark) == 1 else None
-        self.parted = self.mark is not None and self._parted()
+        self.parted = _declared(json.loads(tokenizer_json)) and self.mark is not None and self._parted()
         whole = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.worded = self.parted and not any(_WORD.fullmatch("a" + t) for t in whole) and self._worded()
 
@@ -336,6 +347,19 @@ class TextEncoder:
         return np.frombuffer(b"".join(found), np.uint32), n
 
 
+def _declared(spec: dict) -> bool:
+    """Whether the tokenizer's file has the form under which runs can be looked up."""
+    normal, before, model = (spec.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
+    steps = [(x["type"], x.get("pattern"), x.get("content")) for x in normal.get("normalizers", [])]
+    parts = [(x["type"], x.get("pattern"), x.get("invert"), x.get("use_regex"), x.get("add_prefix_space")) for x in before.get("pretokenizers", [])]
+    return (
+        steps == [("NFC", None, None), ("Replace", {"Regex": "\\s+"}, " "), ("Lowercase", None, None)]
+        and parts == [("Split", {"Regex": _SPLIT}, True, None, None), ("ByteLevel", None, None, False, False)]
+        and (model.get("type"), model.get("dropout"), model.get("ignore_merges", False)) == ("BPE", None, False)
+        and all(t["special"] and not t["normalized"] and not t["lstrip"] and not t["rstrip"] for t in spec.get("added_tokens", []))
+    )
+
+
 @lru_cache(maxsize=1)
 def _encoder(tokenizer_json: str) -> TextEncoder:
     """One for the tasks of a worker, which so share what it remembers."""
@@ -353,6 +377,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, id_col: str =
     table writes a file without rows. Other columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    arrow = to_arrow_type(docs.schema[id_col].dataType)
     sent = docs.sparkSession.sparkContext.broadcast(tokenizer_json)  # as large as the tokenizer's file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,7 +407,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, id_col: str =
                 k += len(row)
             firsts = [start + int(total[a]) for a, _ in rows]
             start += int(total[-1])
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard] * len(rows), pa.int32()), "local_start": pa.array(firsts, pa.int64()), "n_ids": pa.array([int(total[b] - total[a]) for a, b in rows], pa.int64()), "docs": pa.array(docs_out, _docs(kind)), "blocks": pa.array(blocks_out, _BLOCKS)})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard] * len(rows), pa.int32()), "local_start": pa.array(firsts, pa.int64()), "n_ids": pa.array([int(total[b] - total[a]) for a, b in rows], pa.int64()), "docs": pa.array(docs_out, _docs(arrow)), "blocks": pa.array(blocks_out, _BLOCKS)})
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -405,8 +430,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, id_col: str =
 _BLOCKS = pa.list_(pa.struct([("n", pa.int32()), ("crc", pa.int64()), ("data", pa.binary())]))
 
 
-def _docs(kind: str) -> pa.DataType:
-    return pa.list_(pa.struct([("doc_id", {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]), ("n", pa.int64())]))
+def _docs(kind: pa.DataType) -> pa.DataType:
+    return pa.list_(pa.struct([("doc_id", kind), ("n", pa.int64())]))
 
 
 def read_tokens(spark, path: str, keep_ids: bool = False) -> DataFrame:
@@ -416,7 +441,8 @@ def read_tokens(spark, path: str, keep_ids: bool = False) -> DataFrame:
     not have its checksum is an error that names its row.
     """
     rows = spark.read.parquet(path)
-    kind = rows.schema["docs"].dataType.elementType["doc_id"].dataType.simpleString()
+    id_type = rows.schema["docs"].dataType.elementType["doc_id"].dataType
+    kind, arrow = id_type.simpleString(), to_arrow_type(id_type)
     shards = rows.groupBy("shard").agg(F.sum("n_ids").alias("n"))  # a row for each partition written
     offsets = shards.select("shard", (F.sum("n").over(W.orderBy("shard")) - F.col("n")).alias("offset"))
     schema = f"shard int, doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids
@@ -444,7 +470,7 @@ def read_tokens(spark, path: str, keep_ids: bool = False) -> DataFrame:
         row_first = first[np.concatenate([[0], np.cumsum(per_row)])[:-1]]
         start = first + np.repeat(part.column("local_start").to_numpy() - row_first, per_row)
         crc = [zlib.crc32(ids[i:j].astype("<u4").tobytes()) for i, j in zip(first, ends)]
-        columns = {"shard": pa.array([d[0] for d in docs], pa.int32()), "doc_id": pa.array([d[1] for d in docs], _docs(kind).value_type.field(0).type), "start": pa.array(start), "n_tokens": pa.array(n), "ids_crc32": pa.array(crc, pa.int64())}
+        columns = {"shard": pa.array([d[0] for d in docs], pa.int32()), "doc_id": pa.array([d[1] for d in docs], arrow), "start": pa.array(start), "n_tokens": pa.array(n), "ids_crc32": pa.array(crc, pa.int64())}
         if keep_ids:
             columns["ids"] = pa.ListArray.from_arrays(pa.array(np.append(first, ends[-1:]), pa.int32()), pa.array(ids.astype(np.int32)))
         return pa.RecordBatch.from_pydict(columns)

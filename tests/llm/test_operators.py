@@ -323,6 +323,10 @@ def test_url_judge():
     assert verdict("http://notexample.org/es")[2] is None
     assert verdict("http://casinos.site/")[3] == "allow" and verdict("http://my-casino.site/")[3] == "block"
     assert verdict("http://free-free.site/")[3] == "allow" and verdict("http://free.bets/")[3] == "block"
+    assert verdict("http://hot.site/credit")[3] == "allow" and j.judge("http://hot.site/credit/sale")[6:] == (3, 1.0) and verdict("http://hot.site/credit/sale")[3] == "block"
+    own = url_filter.UrlJudge(vocabulary={"tea": 0.4, "pot": 0.4, "kettle": 1.5}, soft_weight=0.7)
+    assert [own.judge(f"http://{h}/")[3] for h in ("tea.pot", "tea.tea", "kettle", "casino")] == ["block", "allow", "block", "allow"]
+    assert url_filter.UrlJudge(vocabulary={}).judge("http://casino/")[3] == "allow"
 
 
 def test_chats_are_read_back(spark):
@@ -337,7 +341,9 @@ def test_chats_are_read_back(spark):
         said = "".join(f"{role}\n{t}\n" for role, t in turns)
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert got[51].valid and got[None].valid and not got[50].valid and not got[0].valid
-    assert chat_format.format_chats(table.limit(0)).count() == 0
+    assert chat_format.format_chats(table.limit(0)).count() == 0 and chat_format.read_chats(chat_format.format_chats(table.limit(0))).count() == 0
+    halves = chat_format.read_chats(chat_format.format_chats(table.withColumn("conv_id", F.col("conv_id") / 2)))
+    assert {r.conv_id for r in halves.collect()} == {None if c is None else c / 2 for c in got}
 
 
 def test_html():
@@ -387,6 +393,15 @@ def test_token_files(spark, docs, odd, tmp_path):
             g = got[r.doc_id]
             assert (g.start, g.n_tokens, g.ids_crc32, list(g.ids)) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), ids)
             start += len(ids)
+    token_files.write_tokens(odd, f"{tmp_path}/odd", open(path).read())  # a null id, and a row that repeats
+    got = token_files.read_tokens(spark, f"{tmp_path}/odd").orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted((r.doc_id for r in odd.collect()), key=lambda d: (d is not None, d or 0))
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
+    named = odd.withColumn("doc_id", F.lit(1.5))
+    token_files.write_tokens(named, f"{tmp_path}/named", open(path).read())
+    assert token_files.read_tokens(spark, f"{tmp_path}/named").where("doc_id = 1.5").count() == odd.count()
+    with pytest.raises(ValueError, match="65536"):
+        token_files.encode_blocks(np.array([65536], np.uint32), np.array([1]))
     token_files.write_tokens(docs.limit(0), f"{tmp_path}/none", open(path).read())
     assert token_files.read_tokens(spark, f"{tmp_path}/none").count() == 0
 
