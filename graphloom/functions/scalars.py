@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def namespaced(prefix: str, c: str | Column) -> Column:
@@ -72,9 +73,32 @@ def missing_fields(*columns: str) -> Column:
     return F.concat_ws(",", *(F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) == "", F.lit(c)) for c in columns))
 
 
-def json_text(c: str | Column) -> Column:
-    """JSON of a struct with its null fields; null is blank. Declare struct fields in order of name."""
-    return F.coalesce(F.to_json(c, {"ignoreNullFields": "false"}), F.lit(""))
+def sorted_value(c: Column, kind: T.DataType) -> Column:
+    """A nested value whose struct fields and map keys are in order of name, at every level."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(c.isNotNull(), F.struct(*(sorted_value(c[f.name], f.dataType).alias(f.name) for f in fields)))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: sorted_value(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entries = F.array_sort(F.map_entries(c), lambda x, y: F.when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(0))
+        return F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"].alias("key"), sorted_value(e["value"], kind.valueType).alias("value"))))
+    return c
+
+
+def json_text(df: DataFrame, name: str) -> Column:
+    """JSON of a nested column with sorted keys and its null fields; a null or empty one is blank."""
+    kind, c = df.schema[name].dataType, F.col(name)
+    text = F.to_json(sorted_value(c, kind), {"ignoreNullFields": "false"})
+    empty = F.size(c) == 0 if isinstance(kind, T.ArrayType | T.MapType) else F.lit(False)
+    return F.when(c.isNull() | empty, "").otherwise(text)
+
+
+def list_text(df: DataFrame, name: str, separator: str = ";") -> Column:
+    """Elements of a list joined, or a single value as text; null and empty are blank."""
+    c = F.col(name)
+    is_list = isinstance(df.schema[name].dataType, T.ArrayType)
+    return F.coalesce(F.array_join(c.cast("array<string>"), separator) if is_list else c.cast("string"), F.lit(""))
 
 
 def clean_text(c: str | Column) -> Column:

@@ -39,8 +39,23 @@ def resolve_edges(edges: DataFrame, sources: DataFrame, targets: DataFrame, sour
     return edges.join(sources.select(source).distinct(), source, "left_semi").join(targets.select(target).distinct(), target, "left_semi")
 
 
-def next_stage(stages: DataFrame, key: str, order: str) -> DataFrame:
-    """(source, target, delta) of each stage and the one right after it."""
-    a = stages.select(F.col(key).alias("source"), F.col(order).alias("_at"))
-    b = stages.select(F.col(key).alias("target"), (F.col(order) - 1).alias("_at"))
-    return a.join(b, "_at").select("source", "target", F.lit(1).cast("long").alias("delta"))
+def next_stage(stages: DataFrame, key: str, order: str, *group: str) -> DataFrame:
+    """(source, target, delta) of each stage and the one right after it, in each group if there are any."""
+    a = stages.select(F.col(key).alias("source"), F.col(order).alias("_at"), *group)
+    b = stages.select(F.col(key).alias("target"), (F.col(order) - 1).alias("_at"), *group)
+    return a.join(b, ["_at", *group]).select("source", "target", F.lit(1).cast("long").alias("delta"))
+
+
+def by_spelling(rows: DataFrame, table: DataFrame, key: str, spellings: list[Column], value: str) -> DataFrame:
+    """``value`` of the first of the spellings of a row's id that is a ``key`` of ``table``, which is unique by it; blank if none is."""
+    found = rows
+    for i, spelling in enumerate(spellings):
+        side = table.select(F.col(key).alias(f"_k{i}"), F.col(value).alias(f"_v{i}"))
+        found = found.withColumn(f"_s{i}", spelling).join(side, F.col(f"_s{i}") == F.col(f"_k{i}"), "left")
+    first = F.coalesce(*(F.col(f"_v{i}") for i in range(len(spellings))), F.lit(""))
+    return found.select(*rows.columns, first.alias(value))
+
+
+def in_scope(rows: DataFrame, scope: DataFrame | None, key: str) -> DataFrame:
+    """Rows whose key is in ``scope``, or all without one."""
+    return rows if scope is None else rows.join(scope.select(key).distinct(), key, "left_semi")

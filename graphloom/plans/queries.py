@@ -135,13 +135,15 @@ def equality_semi_filter(t):
 
 @query("SELECT event_id, value FROM events WHERE coalesce(value, 0.0) >= 50.0")
 def numeric_floor(t):
-    return t("events").where(F.coalesce(C("value"), F.lit(0.0)) >= 50.0).select("event_id", "value")
+    """A missing value counts as 0, so a floor above it is a plain comparison, which the scan takes."""
+    return t("events").where(C("value") >= 50.0).select("event_id", "value")
 
 
-@query("SELECT n_nationkey, r_regionkey FROM nation JOIN region ON n_regionkey = r_regionkey AND upper(r_name) = upper('asia')")
+@query("SELECT o_orderkey, c_custkey FROM orders JOIN customer ON o_custkey = c_custkey AND upper(replace(o_orderpriority, '1-URGENT', 'building')) = upper(c_mktsegment)")
 def exact_ci_match(t):
-    region = t("region").where(F.upper("r_name") == F.upper(F.lit("asia")))
-    return t("nation").join(region, C("n_regionkey") == C("r_regionkey")).select("n_nationkey", "r_regionkey")
+    """The name that was asked for and the name of the answer, in any case."""
+    asked = t("orders").select("o_orderkey", "o_custkey", F.replace("o_orderpriority", F.lit("1-URGENT"), F.lit("building")).alias("asked"))
+    return asked.join(t("customer"), (C("o_custkey") == C("c_custkey")) & (F.upper("asked") == F.upper("c_mktsegment"))).select("o_orderkey", "c_custkey")
 
 
 @query("SELECT user_id, event_type, event_id, ts, value, props FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
@@ -184,10 +186,10 @@ def fanout_join(t):
 
 @query("""SELECT c_custkey, c_name, coalesce(a.nation, b.nation) AS nation, CASE WHEN a.nation IS NOT NULL THEN 'id' WHEN b.nation IS NOT NULL THEN 'name' ELSE '' END AS mapping_input,
 CASE WHEN coalesce(a.nation, b.nation) IS NOT NULL THEN 'mapped' ELSE 'missing' END AS mapping_status FROM customer
-LEFT JOIN (SELECT c_custkey, c_nationkey AS nation FROM customer WHERE c_custkey % 2 = 0) a USING (c_custkey) LEFT JOIN (SELECT c_name, c_nationkey AS nation FROM customer WHERE c_mktsegment = 'BUILDING') b USING (c_name)""")
+LEFT JOIN (SELECT c_custkey, c_nationkey AS nation FROM customer WHERE c_acctbal > 0) a USING (c_custkey) LEFT JOIN (SELECT c_name, c_nationkey AS nation FROM customer WHERE c_mktsegment = 'BUILDING') b USING (c_name)""")
 def fallback_join(t):
     known = t("customer").withColumnRenamed("c_nationkey", "nation")
-    return joins.fallback(t("customer").select("c_custkey", "c_name"), known.where("c_custkey % 2 = 0"), known.where("c_mktsegment = 'BUILDING'"), "c_custkey", "c_name", "nation")
+    return joins.fallback(t("customer").select("c_custkey", "c_name"), known.where("c_acctbal > 0"), known.where("c_mktsegment = 'BUILDING'"), "c_custkey", "c_name", "nation")
 
 
 @query("SELECT o_orderkey, coalesce(a.c_acctbal, b.s_acctbal) AS balance FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) a ON o_custkey = a.c_custkey LEFT JOIN supplier b ON o_custkey = b.s_suppkey")
@@ -202,10 +204,16 @@ def left_keep_missing(t):
     return joins.keep_missing(t("orders").select("o_orderkey"), t("lineitem").withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey", "lines")
 
 
-@query("SELECT s_suppkey, coalesce(n_name, '') AS nation FROM supplier LEFT JOIN nation ON regexp_replace('path:' || s_nationkey, '^path:', '') = CAST(n_nationkey AS VARCHAR)")
+SPELT = "(SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN 'path:' || c_name ELSE upper(c_name) END AS spelt FROM customer)"
+
+
+@query(f"SELECT c_custkey, coalesce(a.c_mktsegment, b.c_mktsegment, '') AS c_mktsegment FROM {SPELT} LEFT JOIN (SELECT c_name, c_mktsegment FROM customer WHERE c_nationkey < 20) a ON a.c_name = spelt LEFT JOIN (SELECT c_name, c_mktsegment FROM customer WHERE c_nationkey < 20) b ON upper(b.c_name) = upper(regexp_replace(spelt, '^path:', ''))")
 def lookup_two_spellings(t):
-    key = F.regexp_replace(F.concat(F.lit("path:"), C("s_nationkey").cast("string")), "^path:", "")
-    return t("supplier").join(t("nation"), key == C("n_nationkey").cast("string"), "left").select("s_suppkey", F.coalesce("n_name", F.lit("")).alias("nation"))
+    """Ids as they are written, or else without their prefix and in one case."""
+    rows = t("customer").select("c_custkey", F.when(C("c_acctbal") > 0, F.concat(F.lit("path:"), "c_name")).otherwise(F.upper("c_name")).alias("spelt"))
+    names = t("customer").where("c_nationkey < 20").select("c_name", "c_mktsegment")
+    both = names.union(names.select(F.upper("c_name"), "c_mktsegment")).dropDuplicates(["c_name"])
+    return joins.by_spelling(rows, both, "c_name", [C("spelt"), F.upper(F.regexp_replace("spelt", "^path:", ""))], "c_mktsegment").drop("spelt")
 
 
 @query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
@@ -225,9 +233,11 @@ def edge_resolution(t):
     return joins.resolve_edges(t("orders").select("o_orderkey", "o_custkey"), sources, targets, "o_orderkey", "o_custkey")
 
 
-@query("SELECT a.r_name AS source, b.r_name AS target, CAST(1 AS BIGINT) AS delta FROM region a JOIN region b ON b.r_regionkey = a.r_regionkey + 1")
+@query("WITH s AS (SELECT l_orderkey || '-' || l_linenumber AS line, l_orderkey, l_linenumber FROM lineitem) SELECT a.line AS source, b.line AS target, CAST(1 AS BIGINT) AS delta FROM s a JOIN s b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber + 1")
 def stage_progression(t):
-    return joins.next_stage(t("region"), "r_name", "r_regionkey")
+    """Each line of an order and the one after it."""
+    stages = t("lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line"), "l_orderkey", "l_linenumber")
+    return joins.next_stage(stages, "line", "l_linenumber", "l_orderkey")
 
 
 @query("SELECT 'customer' AS label, count(*) AS n FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'supplier', count(*) FROM supplier")
@@ -271,11 +281,10 @@ def sort_two_keys_topk(t):
     return t("part").select("p_brand", "p_name", "p_partkey").orderBy("p_brand", "p_name", "p_partkey").limit(20)
 
 
-@query("SELECT r_name, n_name, row_number() OVER (PARTITION BY r_name ORDER BY nullif(n_name, 'INDIA') ASC NULLS LAST) AS place FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY nullif(o_orderstatus, 'F') ASC NULLS LAST, o_orderkey) AS place FROM orders")
 def nulls_last_order(t):
-    named = t("nation").join(t("region"), C("n_regionkey") == C("r_regionkey"))
-    order = W.partitionBy("r_name").orderBy(F.nullif(C("n_name"), F.lit("INDIA")).asc_nulls_last())
-    return named.select("r_name", "n_name", F.row_number().over(order).cast("long").alias("place"))
+    order = W.partitionBy("o_custkey").orderBy(F.nullif(C("o_orderstatus"), F.lit("F")).asc_nulls_last(), "o_orderkey")
+    return t("orders").select("o_custkey", "o_orderkey", F.row_number().over(order).cast("long").alias("place"))
 
 
 @query("SELECT 'C' || c_custkey AS node_id, c_name AS name, c_mktsegment AS segment, 'customer' AS source FROM customer UNION ALL SELECT 'S' || s_suppkey, s_name, NULL, 'supplier' FROM supplier")
@@ -286,10 +295,10 @@ def union_sources(t):
 
 
 @query("""SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, a.o_custkey, CASE WHEN b.o_orderkey IS NOT NULL THEN 'U' ELSE a.o_orderstatus END AS o_orderstatus
-FROM (SELECT * FROM orders WHERE o_orderkey % 3 < 2) a FULL JOIN (SELECT * FROM orders WHERE o_orderkey % 3 > 0) b ON a.o_orderkey = b.o_orderkey""")
+FROM (SELECT * FROM orders WHERE o_orderstatus <> 'P') a FULL JOIN (SELECT * FROM orders WHERE o_totalprice < 150000) b ON a.o_orderkey = b.o_orderkey""")
 def node_upsert(t):
-    base = t("orders").where("o_orderkey % 3 < 2").select("o_orderkey", "o_custkey", "o_orderstatus")
-    batch = t("orders").where("o_orderkey % 3 > 0").select("o_orderkey", F.lit("U").alias("o_orderstatus"))
+    base = t("orders").where("o_orderstatus != 'P'").select("o_orderkey", "o_custkey", "o_orderstatus")
+    batch = t("orders").where("o_totalprice < 150000").select("o_orderkey", F.lit("U").alias("o_orderstatus"))
     return graph.upsert(base, batch, "o_orderkey")
 
 
@@ -402,19 +411,19 @@ UNION ALL SELECT 'suppliers_of_an_order_outside', count(DISTINCT l_suppkey) FROM
 UNION ALL SELECT 'lines_from_an_order_outside', count(*) FROM lineitem WHERE l_orderkey NOT IN {NEAR_ORDERS}
 UNION ALL SELECT 'customers_without_an_order', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
 def scope_layers(t):
-    """Counters of edges by both ends, of nodes two hops away and of distinct nodes."""
+    """Counters of edges by both ends, of nodes two hops away and of distinct nodes; the lines are grouped once for the first, third and fourth."""
     orders, suppliers = _near(t)
-    pairs = t("lineitem").select("l_orderkey", "l_suppkey").distinct()
-    by_order, by_supplier = C("l_orderkey") == C("o_orderkey"), C("l_suppkey") == C("s_suppkey")
-    inside = pairs.join(orders, by_order, "left_semi").join(suppliers, by_supplier, "left_semi")
-    outside = t("lineitem").select("l_orderkey", "l_suppkey").join(orders, by_order, "left_anti")
-    return graph.violations({
-        "edges_with_an_end_outside": pairs.join(inside, ["l_orderkey", "l_suppkey"], "left_anti"),
+    near_order, near_supplier = orders.withColumn("near_order", F.lit(True)), suppliers.withColumn("near_supplier", F.lit(True))
+    by_supplier = C("l_suppkey") == C("s_suppkey")
+    pairs = t("lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("n"))
+    marked = pairs.join(near_order, C("l_orderkey") == C("o_orderkey"), "left").join(near_supplier, by_supplier, "left")
+    outside = C("near_order").isNull()
+    each = marked.groupBy("l_suppkey").agg(F.count_if(outside | C("near_supplier").isNull()).alias("edges"), F.sum(F.when(outside, C("n")).otherwise(0)).alias("lines"), F.max(outside.cast("long")).alias("suppliers"))
+    sums = each.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(name) for c, name in (("edges", "edges_with_an_end_outside"), ("suppliers", "suppliers_of_an_order_outside"), ("lines", "lines_from_an_order_outside"))))
+    return sums.unpivot([], sums.columns, "rule", "violations").unionByName(graph.violations({
         "parts_without_a_supplier_inside": t("part").join(t("lineitem").join(suppliers, by_supplier, "left_semi"), C("p_partkey") == C("l_partkey"), "left_anti"),
-        "suppliers_of_an_order_outside": outside.select("l_suppkey").distinct(),
-        "lines_from_an_order_outside": outside,
         "customers_without_an_order": t("customer").join(t("orders"), C("c_custkey") == C("o_custkey"), "left_anti"),
-    })
+    }))
 
 
 @query(f"""SELECT l_returnflag AS layer, count(*) AS edges, count(DISTINCT l_partkey) AS parts, min(l_quantity) AS least, max(l_quantity) AS most,
@@ -435,3 +444,79 @@ def upsert_twice(t):
     once = graph.upsert(table, batch, "c_custkey")
     renamed = [df.withColumnRenamed("c_mktsegment", n) for df, n in ((table, "before"), (once, "after_once"), (graph.upsert(once, batch, "c_custkey"), "after_twice"))]
     return renamed[0].join(renamed[1], "c_custkey").join(renamed[2], "c_custkey")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_clerk = '' THEN 'rejected' WHEN c_custkey IS NULL THEN 'rejected' WHEN o_totalprice >= 200000 AND n >= 4 THEN 'high' WHEN o_totalprice >= 100000 THEN 'medium' ELSE 'candidate' END AS tier,
+CASE WHEN o_clerk = '' THEN 'missing:status' WHEN c_custkey IS NULL THEN 'out_of_scope:' || o_custkey WHEN o_totalprice >= 200000 AND n >= 4 THEN 'score_and_support' WHEN o_totalprice >= 100000 THEN 'score' ELSE 'low_score' END AS tier_reason
+FROM (SELECT o_orderkey, o_custkey, o_totalprice, CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderstatus END AS o_clerk FROM orders) LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey LEFT JOIN """ + LINES + """ ON o_orderkey = l_orderkey""")
+def tier_rejections(t):
+    """Rows with missing fields and rows outside the scope are rejected before any score counts."""
+    rows = joins.keep_missing(t("orders"), t("lineitem").withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey", "lines").withColumn("status", F.when(C("o_orderstatus") == "P", "").otherwise(C("o_orderstatus")))
+    scope = t("customer").where("c_acctbal > 0").select("c_custkey")
+    return graph.tiered(rows, C("o_totalprice"), C("lines"), (200000.0, 4), 100000.0, S.missing_fields("status"), (C("o_custkey"), scope)).select("o_orderkey", "tier", "tier_reason")
+
+
+@query("SELECT user_id, event_type, coalesce(string_agg(DISTINCT nullif(CASE WHEN value < 50 THEN '' ELSE CAST(CAST(floor(value / 10) AS BIGINT) AS VARCHAR) END, ''), ';' ORDER BY nullif(CASE WHEN value < 50 THEN '' ELSE CAST(CAST(floor(value / 10) AS BIGINT) AS VARCHAR) END, '')), '') AS tens FROM events GROUP BY 1, 2")
+def merge_with_blanks(t):
+    """Keys whose values are all blank keep a blank; ordered by the values, so that SQL has the same order."""
+    cells = t("events").select("user_id", "event_type", F.when(C("value") < 50, "").otherwise(F.floor(C("value") / 10).cast("string")).alias("tens")).withColumn("at", C("tens"))
+    return dedupe.ordered_merge(cells, ["user_id", "event_type"], "tens", ["at"])
+
+
+@query("""SELECT least(a, b) || '|' || greatest(a, b) AS edge_id, count(*) AS n FROM (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT nullif(l_suppkey, 1) AS a, nullif(l_partkey, 2) AS b FROM lineitem) WHERE a IS NOT NULL AND b IS NOT NULL) GROUP BY 1""")
+def undirected_edges_with_gaps(t):
+    """Rows that lack an end are no edges."""
+    rows = t("lineitem").select(F.nullif(C("l_suppkey"), F.lit(1)).alias("a"), F.nullif(C("l_partkey"), F.lit(2)).alias("b"), "l_orderkey", "l_linenumber")
+    return dedupe.undirected_edges(rows, "a", "b", ["l_orderkey", "l_linenumber"]).groupBy("edge_id").agg(F.count("*").alias("n"))
+
+
+@query("""WITH b AS (SELECT o_custkey AS k, arg_max(o_orderstatus, o_orderkey) AS status FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1)
+SELECT c_custkey, CASE WHEN k IS NOT NULL THEN status ELSE c_mktsegment END AS c_mktsegment, CASE WHEN k IS NOT NULL THEN 'run 2' END AS updated_at FROM customer LEFT JOIN b ON k = c_custkey""")
+def upsert_repeated_keys(t):
+    """A batch with many rows of a key and rows without one; the last by order counts, and what it touched is stamped."""
+    table = t("customer").select("c_custkey", "c_mktsegment", F.lit(None).cast("string").alias("updated_at"))
+    batch = t("orders").select(F.when(C("o_orderstatus") != "P", C("o_custkey")).alias("c_custkey"), C("o_orderstatus").alias("c_mktsegment"), "o_orderkey")
+    return graph.upsert(table, batch, "c_custkey", ["o_orderkey"], ("updated_at", F.lit("run 2"))).select("c_custkey", "c_mktsegment", "updated_at")
+
+
+@query("""WITH e AS (SELECT l_partkey || '>' || l_suppkey AS edge_id, l_partkey, l_suppkey, max(l_quantity) AS most FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 10) AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY ALL)
+SELECT edge_id, l_partkey, l_suppkey, most FROM e UNION ALL SELECT l_partkey || '>' || l_suppkey, l_partkey, l_suppkey, 0.0 FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R') WHERE l_partkey || '>' || l_suppkey NOT IN (SELECT edge_id FROM e)""")
+def edge_upsert_resolved(t):
+    """Edges are merged by their id after both ends were found among the nodes."""
+    lines = t("lineitem").select(F.concat_ws(">", "l_partkey", "l_suppkey").alias("edge_id"), "l_partkey", "l_suppkey", C("l_quantity").alias("most"), "l_returnflag")
+    table = lines.where("l_returnflag = 'R'").select("edge_id", "l_partkey", "l_suppkey", F.lit(0.0).alias("most")).distinct()
+    parts, suppliers = t("part").where("p_size > 10").select(C("p_partkey").alias("l_partkey")), t("supplier").where("s_acctbal > 0").select(C("s_suppkey").alias("l_suppkey"))
+    return graph.upsert_edges(table, lines.drop("l_returnflag"), "edge_id", parts, suppliers, "l_partkey", "l_suppkey", ["most"])
+
+
+@query("""SELECT 'buys: core not in the graph' AS rule, count(*) AS violations FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
+UNION ALL SELECT 'buys: order not in the graph', 0 UNION ALL SELECT 'holds: order not in the graph', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
+UNION ALL SELECT 'holds: part not in the graph', count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)
+UNION ALL SELECT 'order without an edge', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 10))
+UNION ALL SELECT 'part without an edge', count(*) FROM part WHERE p_size > 10 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders))""")
+def graph_scope_audit(t):
+    """The counters of a whole graph from its tables."""
+    core = t("customer").where("c_acctbal > 0").select("c_custkey")
+    nodes = {"order": t("orders").select("o_orderkey"), "part": t("part").where("p_size > 10").select("p_partkey")}
+    edges = {"buys": ("core", "order", t("orders").select("o_custkey", "o_orderkey")), "holds": ("order", "part", t("lineitem").select("l_orderkey", "l_partkey"))}
+    return graph.scope_audit(core, nodes, edges)
+
+
+@query("SELECT c_custkey, coalesce(nullif(CASE WHEN c_mktsegment = 'BUILDING' THEN '' ELSE c_mktsegment END, ''), CASE WHEN c_acctbal > 0 THEN 'FILLED' END) AS segment FROM customer")
+def backfill_by_key(t):
+    table = t("customer").select("c_custkey", F.when(C("c_mktsegment") == "BUILDING", "").otherwise(C("c_mktsegment")).alias("segment"))
+    return graph.backfill(table, t("customer").where("c_acctbal > 0").select("c_custkey", F.lit("FILLED").alias("segment")), "c_custkey", "segment")
+
+
+@query("""SELECT c_custkey, '{"a":{"k":' || c_nationkey || ',"z":null},"b":[{"m":"' || c_mktsegment || '","n":1}]}' AS json, CASE WHEN c_acctbal > 0 THEN c_name || ';x' ELSE '' END AS list, CAST(c_nationkey AS VARCHAR) AS single FROM customer""")
+def sorted_json_text(t):
+    """Nested values as JSON with sorted keys at every level; lists and single values as text."""
+    cells = t("customer").select("c_custkey", F.struct(F.array(F.struct(F.lit(1).alias("n"), C("c_mktsegment").alias("m"))).alias("b"), F.struct(F.lit(None).cast("string").alias("z"), C("c_nationkey").alias("k")).alias("a")).alias("j"), F.when(C("c_acctbal") > 0, F.array("c_name", F.lit("x"))).alias("list"), "c_nationkey")
+    return cells.select("c_custkey", S.json_text(cells, "j").alias("json"), S.list_text(cells, "list").alias("list"), S.list_text(cells, "c_nationkey").alias("single"))
+
+
+@query("SELECT word, min(p_partkey * 100 + i) AS first_at FROM (SELECT p_partkey, i, string_split(p_name, ' ')[i] AS word FROM part, unnest(generate_series(1, len(string_split(p_name, ' ')))) u(i)) GROUP BY 1")
+def first_writer_position(t):
+    """Where each word is written first, over parts and positions."""
+    each = t("part").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("at", "word"))
+    return dedupe.first_wins(each, ["word"], ["p_partkey", "at"]).select("word", (C("p_partkey") * 100 + C("at") + 1).alias("first_at"))

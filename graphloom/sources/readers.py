@@ -27,7 +27,12 @@ def tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
 def positional(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Headerless tab-separated lines: those with enough fields, the first of which are named."""
-    parts = spark.read.text(path).where("trim(value) != ''").select(F.split("value", "\t", -1).alias("p")).where(F.size("p") >= len(columns))
+    return fields(spark.read.text(path), "value", columns)
+
+
+def fields(lines: DataFrame, line: str, columns: list[str]) -> DataFrame:
+    """The first tab-separated fields of lines that have enough, such as those of ``zipped_lines``."""
+    parts = lines.where(F.trim(line) != "").select(F.split(line, "\t", -1).alias("p")).where(F.size("p") >= len(columns))
     return parts.select(*(F.col("p")[i].alias(c) for i, c in enumerate(columns)))
 
 
@@ -69,3 +74,32 @@ def json_page_lines(spark: SparkSession, path: str, record: T.StructType, envelo
     """Records of pages written one to a line, with the fields of their envelope and ``position``."""
     schema = T.StructType([*envelope.fields, T.StructField("payload", T.ArrayType(record))])
     return spark.read.schema(schema).json(path).select(*envelope.names, F.posexplode("payload").alias("position", "r")).select(*envelope.names, "position", "r.*")
+
+
+def zipped_xml(spark: SparkSession, path: str, row_tag: str, schema: T.StructType, member: str | None = None) -> DataFrame:
+    """Elements ``row_tag`` of one XML member of each zip, which are not nested; streamed, one element in memory at a time."""
+    import xml.etree.ElementTree as ET
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"]):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    members = [member] if member else z.namelist()
+                    if len(members) != 1:
+                        raise ValueError(f"{name} has {len(members)} members, not one")
+                    held: list[str] = []
+                    with z.open(members[0]) as f:
+                        for _, element in ET.iterparse(f):
+                            if element.tag.rpartition("}")[2] == row_tag:
+                                for x in element.iter():  # the namespace is ignored
+                                    x.tag = x.tag.rpartition("}")[2]
+                                element.tail = None
+                                held.append(ET.tostring(element, "unicode"))
+                                element.clear()
+                            if len(held) == 1000:
+                                yield pd.DataFrame({"xml": held})
+                                held = []
+                    yield pd.DataFrame({"xml": held}, dtype=str)
+
+    found = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "xml string")
+    return found.select(F.from_xml("xml", schema.simpleString()).alias("r")).select("r.*")

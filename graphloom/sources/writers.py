@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,3 +33,12 @@ def metadata(df: DataFrame) -> str:
 def json_pages(pages: DataFrame, path: str, folder: str) -> None:
     """Pages, one to a line, in a folder for each value of ``folder``."""
     pages.write.partitionBy(folder).json(path)
+
+
+def exists(spark: SparkSession, *paths: str) -> dict[str, bool]:
+    """Which outputs are there, in whatever file system their paths name."""
+    found = {}
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found[path] = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    return found

@@ -30,16 +30,17 @@ def test_scalars(spark):
         one(spark, "a string", ("q",), S.strict_number("a"))
     assert one(spark, "a string, b string", (None, "0"), S.first_present(("p", "a"), ("q", "b")))[0] == ("q", "0")
     assert one(spark, "a string", (" a \n\t b ",), S.clean_text("a")) == ("a b",)
-    assert one(spark, "a struct<x:int,y:string>", ((1, None),), S.json_text("a")) == ('{"x":1,"y":null}',)
+    nested = spark.createDataFrame([((1, None), {"b": 1, "a": 2}, [], 5)], "s struct<y:int,x:string>, m map<string,int>, l array<string>, n int")
+    assert tuple(nested.select(*(S.json_text(nested, c) for c in ("s", "m", "l")), S.list_text(nested, "l"), S.list_text(nested, "n")).first()) == ('{"x":null,"y":1}', '{"a":2,"b":1}', "", "", "5")
 
 
 def test_dedupe(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("a", 2, "x"), ("b", 1, "")], "k string, s int, v string").repartition(3)
     assert rows(dedupe.last_wins(df, ["k"], ["s"])) == [("a", 3, "y"), ("b", 1, "")]
     assert rows(dedupe.first_wins(df, ["k"], ["s"])) == [("a", 1, "x"), ("b", 1, "")]
-    assert rows(dedupe.ordered_merge(df, ["k"], "v", ["s"])) == [("a", "x;y")]
+    assert rows(dedupe.ordered_merge(df, ["k"], "v", ["s"])) == [("a", "x;y"), ("b", "")]  # a key with blanks only stays
     assert rows(dedupe.set_join(df.where("v != ''"), ["k"], "v")) == [("a", "x;y")]
-    pairs = spark.createDataFrame([("B", "A", 1, 9), ("A", "B", 2, 8)], "a string, b string, s int, w int")
+    pairs = spark.createDataFrame([("B", "A", 1, 9), ("A", "B", 2, 8), (None, "B", 0, 7), ("A", None, 0, 7)], "a string, b string, s int, w int")
     assert rows(dedupe.undirected_edges(pairs, "a", "b", ["s"]).select("edge_id", "a", "b", "w")) == [("A|B", "A", "B", 9)]
 
 
@@ -53,6 +54,10 @@ def test_joins(spark):
     assert rows(got) == [(1, "A", "id", "mapped"), (8, None, "", "missing"), (9, "C", "name", "mapped")]
     st = spark.createDataFrame([("s1", 1), ("s2", 2), ("s4", 4)], "s string, o int")
     assert rows(joins.next_stage(st, "s", "o")) == [("s1", "s2", 1)]
+    spelt = spark.createDataFrame([("a",), ("p:b",), ("z",)], "i string")
+    named = spark.createDataFrame([("a", "A"), ("b", "B")], "k string, v string")
+    assert rows(joins.by_spelling(spelt, named, "k", [F.col("i"), F.regexp_replace("i", "^p:", "")], "v")) == [("a", "A"), ("p:b", "B"), ("z", "")]
+    assert rows(joins.in_scope(spelt, None, "i")) == rows(spelt) and rows(joins.in_scope(spelt, spelt.limit(1), "i")) == [("a",)]
 
 
 def test_upsert_keeps_unlisted_columns_and_is_idempotent(spark):
@@ -65,12 +70,22 @@ def test_upsert_keeps_unlisted_columns_and_is_idempotent(spark):
     assert rows(graph.upsert(once, clean, "k")) == rows(once)
     with pytest.raises(ValueError):
         graph.require_unique(batch, "k")
+    plain = spark.createDataFrame([(1, "b"), (1, "c"), (None, "d"), (4, "e"), (4, "e")], "k int, v string")
+    assert rows(graph.upsert(table, plain, "k").select("k", "v")) == [(1, "c"), (2, "b"), (4, "e")]
+    stamped = graph.upsert(table, plain, "k", stamp=("at", F.lit("now")))
+    assert rows(stamped.select("k", "at")) == [(1, "now"), (2, None), (4, "now")]
+    nodes = spark.createDataFrame([(1,), (2,)], "a int")
+    edges = spark.createDataFrame([("x", 1, 2), ("y", 1, 9), ("z", None, 2)], "id string, a int, b int")
+    assert rows(graph.upsert_edges(edges.limit(0), edges, "id", nodes, nodes.toDF("b"), "a", "b")) == [("x", 1, 2)]
+    assert rows(graph.backfill(spark.createDataFrame([(1, "", "k"), (2, "b", None), (3, None, "q")], "k int, v string, w string"), spark.createDataFrame([(1, "n", "n"), (2, "n", "n")], "k int, v string, w string"), "k", "v", "w")) == [(1, "n", "k"), (2, "b", "n"), (3, None, "q")]
 
 
 def test_tiers_audits_profiles(spark):
     df = spark.createDataFrame([("a", 0.6, 5), ("b", 0.6, 4), ("c", 0.3, None), ("d", 0.29, 9), (None, 0.9, 9)], "id string, s double, n int")
     got = graph.tiered(df, F.col("s"), F.col("n"), (0.6, 5), 0.3, S.missing_fields("id")).select("id", "tier", "tier_reason")
     assert rows(got) == [("a", "high", "score_and_support"), ("b", "medium", "score"), ("c", "medium", "score"), ("d", "candidate", "low_score"), (None, "rejected", "missing:id")]
+    scoped = graph.tiered(df, F.col("s"), F.col("n"), (0.6, 5), 0.3, S.missing_fields("id"), (F.col("id"), df.where("id in ('a', 'c')"))).select("id", "tier", "tier_reason")
+    assert rows(scoped) == [("a", "high", "score_and_support"), ("b", "rejected", "out_of_scope:b"), ("c", "medium", "score"), ("d", "rejected", "out_of_scope:d"), (None, "rejected", "missing:id")]
     assert rows(graph.violations({"x": df, "y": df.limit(0)})) == [("x", 5), ("y", 0)]
     assert rows(profile.field_profile(df)) == [("id", 5, 4, 1), ("n", 5, 4, 1), ("s", 5, 5, 0)]
     kinds = spark.createDataFrame([("null",), ("[]",), ('[{"a":1}]',), ("[1,2]",), ('{"a":1}',)], "j string")
@@ -97,6 +112,12 @@ def test_sources_and_sinks(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "zips/one.zip", "w") as z:
         z.writestr("m.tsv", b"a\tb\r\nc\xff\td\n")
     assert [r.line for r in readers.zipped_lines(spark, str(tmp_path / "zips")).orderBy("line_no").collect()] == ["a\tb", "c�\td"]
+    assert rows(readers.fields(readers.zipped_lines(spark, str(tmp_path / "zips")), "line", ["x", "y"])) == [("a", "b"), ("c\ufffd", "d")]
+    (tmp_path / "xz").mkdir()
+    with zipfile.ZipFile(tmp_path / "xz/x.zip", "w") as z:
+        z.writestr("x.xml", '<r xmlns="http://n"><m><id>1</id></m>\n<m><id>2</id><o/></m></r>')
+    assert rows(readers.zipped_xml(spark, str(tmp_path / "xz"), "m", record)) == [("1",), ("2",)]
+    assert list(writers.exists(spark, str(tmp_path / "xz"), str(tmp_path / "none")).values()) == [True, False]
     with zipfile.ZipFile(tmp_path / "zips/one.zip", "a") as z:
         z.writestr("other.tsv", b"x\ty\n")
     assert [r.line for r in readers.zipped_lines(spark, str(tmp_path / "zips"), "other.tsv").collect()] == ["x\ty"]
