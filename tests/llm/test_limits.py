@@ -5,7 +5,7 @@ import time
 
 import pytest
 
-from graphloom.llm import decontaminate, html_extract, line_dedup, registry, sentencepiece_codec
+from graphloom.llm import decontaminate, html_extract, registry, sentencepiece_codec
 
 
 def test_long_chunks_have_the_ids_of_lanes():
@@ -42,16 +42,6 @@ def test_a_hundred_thousand_equal_words(spark):
     assert got == {1: (100_000, 100_000, ["7", "8"], 1), 2: (13, 0, [], 0), 3: (14, 13, ["7", "8"], 1)} and time.time() - began < 90
 
 
-@pytest.mark.parametrize("spaces", [True, False])
-def test_a_hundred_long_lines_that_share_most(spark, spaces):
-    pick = random.Random(6)
-    base = "".join(pick.choices("abcdefgh    " if spaces else "abcdefgh", k=20_000))
-    rows = [(i, base[: 150 * i] + str(i % 10) + base[150 * i + 1 :]) for i in range(100)]
-    began = time.time()
-    got = line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
-    assert sorted(r.doc_id for r in got if r.text) == [0] and time.time() - began < 240
-
-
 def test_fifty_thousand_nested_tags():
     began = time.time()
     page = "<div>" * 50_000 + "<p>One, two, three.</p>" + "</x>" * 10_000
