@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, line_dedup, quality_classifier, quality_rules, sentencepiece_codec, simhash, token_files, url_filter
+from ..sources.shared import Tables
+from . import bpe_transducer, chat_format, decontaminate, html_extract, line_dedup, prefix_trie, quality_classifier
+from . import quality_rules, sentencepiece_codec, simhash, source_divergence, token_files, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +78,24 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        tokenizer_json = f.read()
+    parts = bpe_transducer.encode(_table(spark, sf_dir, "documents"), tokenizer_json)
+    return bpe_transducer.digests(bpe_transducer.decode(parts, tokenizer_json))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = Tables(spark)
+    found = prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.turn_lists(_table(spark, sf_dir, "conversations")), tables))
+    tables.keep()
+    return found
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 #: A-Z is lower-cased by translate: lower() would change other letters too
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -126,6 +146,47 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(learnt) AS BI
   regexp_full_match(roles, 's?(ua)*u?') AND roles NOT IN ('') AS valid FROM g"""
 
 
+#: CRC-32 of a decimal: each byte, then eight steps of the shift register, marked by -1
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+  lambda c: [CAST(ord(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))"""
+
+OP12_SQL = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, substr(sha256(length(role) || ':' || role || text), 1, 32)) AS turns FROM t GROUP BY conv_id),
+h AS (SELECT *, conv_id - conv_id % 5 AS head, CAST({_CRC} % 9 AS BIGINT) AS h FROM s),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.turns, [])[1:h.h], h.turns[h.h + 1:]) AS turns FROM h LEFT JOIN s b ON b.conv_id = h.head),
+m AS (SELECT conv_id, len(turns) AS n, unnest(range(0, len(turns) + 1)) AS d, turns FROM r),
+p AS (SELECT conv_id, n, d, turns[1:d] AS path FROM m),
+g AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (d = n), '') AS ends,
+  CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * strlen(path[d].text) END AS saved FROM p GROUP BY path, d),
+c AS (SELECT path[1:d - 1] AS path, count(*) AS n_children FROM g WHERE d > 0 GROUP BY 1),
+k AS (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN c USING (path)),
+u AS (SELECT path[1:e] AS path, saved, n_children FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM k)),
+b AS (SELECT path, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM u GROUP BY path)
+SELECT k.conv_id, k.d AS depth, q.conv_id AS parent_conv_id, k.n_convs, k.n_children, b.n_leaves, CAST(b.saved_tokens AS BIGINT) AS saved_tokens, sha256(k.ends) AS ends_sha256
+FROM k JOIN b USING (path) LEFT JOIN g q ON k.d > 0 AND q.path = k.path[1:k.d - 1]"""
+
+OP13_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT i, lang, source, unnest(regexp_extract_all({_FOLD.format("text")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT i) >= 3),
+langs AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, CAST(sum(n) AS HUGEINT) AS total FROM kept GROUP BY lang),
+gs AS (SELECT DISTINCT lang, source FROM docs),
+n AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+gt AS (SELECT gs.*, coalesce(total, CAST(0 AS HUGEINT)) AS total FROM gs LEFT JOIN (SELECT lang, source, CAST(sum(n) AS HUGEINT) AS total FROM n GROUP BY lang, source) USING (lang, source)),
+p AS (SELECT gt.lang, gt.source, kept.term, coalesce(n.n, CAST(0 AS HUGEINT)) AS n, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(n.n, CAST(0 AS HUGEINT)) + 1)) // (gt.total + v) AS p,
+  1 + (CAST(1000000000 AS HUGEINT) * (kept.n + 1)) // (langs.total + v) AS q
+  FROM gt JOIN kept USING (lang) JOIN langs USING (lang) LEFT JOIN n ON n.lang = gt.lang AND n.source = gt.source AND n.term = kept.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(x.value, 0) AS value FROM gs a JOIN gs b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // b.p) AS BIGINT) AS value
+    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+terms AS (SELECT lang, source, term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pairs
+UNION ALL SELECT lang, source, 'term', item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) FROM terms
+QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) <= 200"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -138,8 +199,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": op8_token_files,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_line_dedup": op10_line_dedup,
+        "op11_bpe": op11_bpe,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_source_divergence": op13_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op4_chat_format": OP4_SQL}
+    return {"op2_url_filter": OP2_SQL, "op4_chat_format": OP4_SQL, "op12_prefix_trie": OP12_SQL, "op13_source_divergence": OP13_SQL}
