@@ -511,27 +511,32 @@ class _Order:
             raise ValueError(f"the parts behind {self.open} are missing")
 
 
-def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) of each text, from the parts that ``decode`` gives, one after another."""
-    kind = decoded.schema[id_col].dataType.simpleString()
-    key = to_arrow_type(decoded.schema[id_col].dataType)
+def digests(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256) of each text: of its ids, as little-endian unsigned 32-bit integers, and of what they decode to.
+
+    Both transducers run one behind the other on bits of a text's ids, so
+    neither its ids nor its decoded text are ever whole. Odd rows are as for
+    ``encode``.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    key = to_arrow_type(docs.schema[id_col].dataType)
+    sent = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        follows, n = _Order(), 0
-        of_ids, of_text = hashlib.sha256(), hashlib.sha256()
+        encoder, decoder = _encoder(sent.value), _decoder(sent.value)
         for batch in batches:
             out: list[tuple] = []
-            for name, part, last, ids, text in zip(batch.column("id").to_pylist(), batch.column("part").to_pylist(), batch.column("last").to_pylist(), _lists(batch.column("ids")), batch.column("decoded")):
-                if follows(name, part, last):
-                    of_ids, of_text, n = hashlib.sha256(), hashlib.sha256(), 0
-                of_ids.update(ids.astype("<i4").tobytes())
-                of_text.update(text.as_buffer())
-                n += len(ids)
-                if last:
-                    out.append((name, n, of_ids.hexdigest(), of_text.hexdigest()))
+            for name, text in zip(batch.column("id").to_pylist(), batch.column("text")):
+                of_ids, of_text, n = hashlib.sha256(), hashlib.sha256(), 0
+                decoder.start()
+                for some in encoder.ids(text.as_py()):
+                    of_ids.update(some)
+                    of_text.update(decoder.text(np.frombuffer(some, "<u4").tolist(), False).encode())
+                    n += len(some) // 4
+                of_text.update(decoder.text([], True).encode())
+                out.append((name, n, of_ids.hexdigest(), of_text.hexdigest()))
             columns = list(zip(*out)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (key, pa.int64(), pa.string(), pa.string()))], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        follows.end()
 
-    base = decoded.select(F.col(id_col).alias("id"), "part", "last", "ids", "decoded")
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return base.mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

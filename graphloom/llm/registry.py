@@ -80,9 +80,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
-        tokenizer_json = f.read()
-    parts = bpe_transducer.encode(_table(spark, sf_dir, "documents"), tokenizer_json)
-    return bpe_transducer.digests(bpe_transducer.decode(parts, tokenizer_json))
+        return bpe_transducer.digests(_table(spark, sf_dir, "documents"), f.read())
 
 
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

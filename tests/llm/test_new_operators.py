@@ -89,13 +89,20 @@ def test_bpe_of_odd_rows_and_long_texts(spark):
     parts = B.encode(docs, tokenizer)
     assert parts.where("doc_id = 5").count() > 2 and parts.agg(F.max(F.size("ids"))).first()[0] <= B.PART
     library = Tokenizer.from_str(tokenizer)
-    want = []
+    want, pieces = [], []
     for i, text, _ in rows:
         ids = library.encode(text or "", add_special_tokens=False).ids
-        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
-    got = B.digests(B.decode(parts, tokenizer)).collect()
+        pieces.append((i, ids, library.decode(ids, skip_special_tokens=False)))
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(pieces[-1][2].encode()).hexdigest()))
+    got = B.digests(docs, tokenizer).collect()
     assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, want))
-    assert B.digests(B.decode(B.encode(docs.limit(0), tokenizer), tokenizer)).count() == 0
+    whole, ids, text = [], [], ""
+    for r in B.decode(parts, tokenizer).collect():
+        ids, text = (ids if r["part"] else []) + r["ids"], (text if r["part"] else "") + r["decoded"]
+        if r["last"]:
+            whole.append((r["doc_id"], ids, text))
+    assert sorted(map(repr, whole)) == sorted(map(repr, pieces))
+    assert B.digests(docs.limit(0), tokenizer).count() == B.decode(B.encode(docs.limit(0), tokenizer), tokenizer).count() == 0
     with pytest.raises(Exception, match="does not follow"):
         B.decode(parts.where("part <> 1"), tokenizer).collect()
 
