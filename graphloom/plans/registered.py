@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archives, audits, exchange  # noqa: F401
+from . import archives, audits, documents, exchange, times  # noqa: F401
 from .queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
