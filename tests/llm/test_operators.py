@@ -263,6 +263,54 @@ def edits(a, b):
     return row[-1]
 
 
+@pytest.mark.parametrize("hot", [64, 2])
+def test_one_edit_links_lines_that_share_a_sentence_with_many(spark, hot):
+    """Pairs whose other segments changed, lost a full stop or were cut elsewhere, in groups of any size."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(2, 9)))
+    sentence = lambda k: " ".join(word() for _ in range(k)).capitalize()
+    common = "This one sentence is the same in every line of the page"
+    rows, pairs = [], []
+    for i in range(100):
+        k = rnd.choice([1, 1, 1, 2, 4])
+        before, after = [sentence(5) for _ in range(k)], [sentence(5) for _ in range(k)]
+        line = ". ".join([*before, common, *after]) + "."
+        at = [line.index(". "), line.rindex(". ")][i % 2] if i < 60 else rnd.randrange(len(line))
+        other = line[:at] + rnd.choice(["", "", "x", line[at] + "x"] if i >= 60 else [""]) + line[at + 1 :]
+        rows += [(2 * i, line), (2 * i + 1, other)]
+        pairs.append(line != other)
+    got = {r.doc_id: r.text for r in line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), hot_limit=hot).collect()}
+    assert sum(pairs) > 95 and all(got[2 * i] == rows[2 * i][1] for i in range(100)) and not any(got[2 * i + 1] for i in range(100))
+
+
+@pytest.mark.parametrize("hot", [64, 1])
+def test_one_edit_at_every_length(spark, hot):
+    """Lengths on both sides of each step, edits at every place; no line has another within an edit but its own."""
+    rnd = random.Random(13)
+    rows = []
+    for n in range(6, 60):
+        line = "".join(rnd.choices("abcdefghij ", k=n - 1)) + "z"
+        for at in (0, n // 2 - 1, n // 2, n - 1):
+            for kind in range(3):
+                base = f"{len(rows):05d}"[::-1] * (n // 5 + 1)
+                base = base[:n] if n < 12 else base[: n // 3] + line[n // 3 :]
+                other = (base[:at] + base[at + 1 :], base[:at] + "#" + base[at + 1 :], base[:at] + "#" + base[at:])[kind]
+                rows += [(len(rows), base), (len(rows) + 1, other)]
+    near = lambda x, y: abs(len(x) - len(y)) <= 1 and _distance(x, y) == 1 and max(len(x), len(y)) >= 5
+    texts = [t for _, t in rows]
+    wanted = {i + 1 for i in range(0, len(rows), 2) if near(texts[i], texts[i + 1])}
+    got = {r.doc_id: r.text for r in line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), hot_limit=hot).collect()}
+    assert len(wanted) > 600 and not any(got[i] for i in wanted)
+
+
+def _distance(x, y):
+    """0, 1 or 2 for more, of texts that differ by one character in length at most."""
+    if x == y:
+        return 0
+    i = next((i for i, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+    return 1 if x[i + 1 :] == y[i + 1 :] or x[i:] == y[i + 1 :] or x[i + 1 :] == y[i:] else 2
+
+
 @pytest.mark.parametrize("hot", [64, 3])
 def test_long_lines_link_within_a_twentieth(spark, hot):
     rng = random.Random(8)
