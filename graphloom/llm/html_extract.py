@@ -9,9 +9,15 @@ main element around it if that scores well, and with it those of its siblings
 that score well and hold few links, and the headings, paragraphs, lists, quotes,
 tables and articles beside it that hold few links.
 
-A class or id only makes an element suspect. It stays if the name also has a
-word for content, or if it holds most of the page's text outside links, with
-headings or paragraphs, and its name is not one of comments or advertisements.
+A class or id only makes an element suspect. It stays if it holds most of the
+page's text outside links, with headings or paragraphs, and its name is not
+wholly one of comments or advertisements. A name is read as English compounds
+are: its last word says what the thing is, once words for parts and for content
+are taken off its end. So reader-comments, comment-thread and sponsored-content
+are suspect, ad-hoc, share-price and comment-on-policy are not. Some words
+name nothing else and make a name suspect wherever they stand in it.
+
+Other articles that score well and hold few links are kept wherever they stand.
 """
 
 from __future__ import annotations
@@ -37,6 +43,12 @@ MAIN = frozenset(["article", "main"])
 #: Words of class and id values. A value is of the layout if all parts of it are such words and one is no filler
 FOREIGN = frozenset("ad ads advert adverts advertisement advertising comment comments commentlist respond replies disqus consent cookie cookies gdpr newsletter".split())
 LAYOUT = FOREIGN | frozenset("banner breadcrumb breadcrumbs footer header masthead menu nav navbar navigation notice notices pager pagination popup modal promo related recommended share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets".split())
+#: Make a name suspect wherever they stand, and as the last word of it
+ANYWHERE = frozenset("adsense advertisement advertising advertorial commentlist comments consent cookie cookies disqus gdpr newsletter newsletters replies".split())
+AT_THE_END = FOREIGN | ANYWHERE | frozenset("discussion discussions reply signup sponsor sponsored sponsors promo promos promotion related recommended recommendations subscribe subscription paywall footer masthead siteinfo".split())
+#: Taken off the end of a name before its last word is read, and beginnings that turn a name around
+PART = frozenset("banner card cards embed feed form frame holder info links module notice overlay panel placement posts articles slot slots stories stream text thread threads unit units zone".split())
+TURNED = frozenset("no not has with without hide".split())
 FILLER = frozenset("area bar block bottom box buttons col column container global inner item items left links list outer primary right row secondary section side site top wrap wrapper".split())
 CONTENT = frozenset("article body content entry main post".split())
 #: Kept beside the best element, if few of their characters are in links
@@ -62,19 +74,36 @@ class _Node:
         self.score, self.chars, self.linked, self.prose = 0.0, 0, 0, False
 
 
+def _names_foreign(value: str) -> bool:
+    """Whether a class or id names comments, advertisements, sign-ups or the like, whatever it says besides."""
+    for pattern in (r"[a-z]+", r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])"):  # as it is written, and by its capitals
+        parts = [x.lower() for x in re.findall(pattern, value if "A-Z" in pattern else value.lower())]
+        if not parts or parts[0] in TURNED:
+            continue
+        if ANYWHERE.intersection(parts) or parts == ["site", "info"]:
+            return True
+        while len(parts) > 1 and (parts[-1] in PART or parts[-1] in FILLER or parts[-1] in CONTENT):
+            parts.pop()
+        if parts[-1] in AT_THE_END:
+            return True
+    return False
+
+
 def _suspect(attrs: str) -> int:
-    """2 if a class or id names what is never an article, 1 if it names a part of the layout, else 0."""
+    """2 if a class or id names what is never an article, 1 if it names a part of the layout or has a word for what is none, else 0."""
     found = 0
     for name, *values in _ATTR.findall(attrs):
         if name.lower() not in ("class", "id"):
             continue
-        for value in "".join(values).lower().split():
-            parts = [x for x in re.split(r"[^a-z]+", value) if x]
+        for value in "".join(values).split():
+            parts = [x for x in re.split(r"[^a-z]+", value.lower()) if x]
             if not parts:
                 continue
             if parts[0] in FOREIGN and all(x in LAYOUT or x in FILLER or x in CONTENT for x in parts):
                 return 2
-            if any(x in CONTENT for x in parts):
+            if _names_foreign(value):
+                found = max(found, 1)
+            elif any(x in CONTENT for x in parts):
                 return 0
             if any(x in LAYOUT for x in parts) and all(x in LAYOUT or x in FILLER for x in parts):
                 found = max(found, 2 if any(x in FOREIGN for x in parts) else 1)
@@ -202,8 +231,13 @@ def main_text(source: str | None) -> str:
     few_links = lambda n: n.linked * 4 < n.chars
     # what each element is to the top: in it, the sibling it stands in, the outermost element of BESIDE around it
     inside, below, beside = {}, {None: None}, {None: None}
+    around_top, up = set(), top
+    while up is not None:
+        around_top.add(up)
+        up = up.parent
     for x in nodes:
-        inside[x] = x is top or inside.get(x.parent, False)
+        article = x.tag == "article" and x not in around_top and not x.dead and value(x) >= least and few_links(x)
+        inside[x] = x is top or article or inside.get(x.parent, False)
         is_sibling = x.parent is top.parent and x is not top and x.parent is not None
         below[x] = x if is_sibling else below[x.parent]
         around = None if is_sibling else beside[x.parent]

@@ -532,3 +532,53 @@ def test_pipeline_stages_take_effect(spark):
         assert out.columns == docs.columns and out.count() <= now.count()
         now = out
     assert corpus_pipeline.run(spark, sf).count() == now.count() > 0
+
+
+def test_pipeline_of_odd_rows_and_of_none(spark):
+    """Nulls, repeats, blank texts and columns named like the operators' own go through all stages."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 60")
+    odd = [(900, None, None, None, None), (901, "", "en", None, 0), (902, " \n\t", "en", "s", 3), (None, "no id", None, "s", 5), (3, "the id of another", "en", "s", 17), (904, "one word " * 30_000, "en", "s", 0)]
+    docs = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long").select(docs.columns))
+    docs = docs.union(docs.where("doc_id in (1, 2, 901)"))  # repeated rows
+    clash = ["kept", "h1", "id", "_key", "root", "fingerprint", "n_words", "part", "pos"]
+    docs = docs.withColumns({c: F.lit(i) for i, c in enumerate(clash)})
+    for empty in (False, True):
+        now = docs.limit(0) if empty else docs
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, now, DATA)
+            path = common_folder(spark)
+            out.write.parquet(path)
+            out = spark.read.schema(out.schema).parquet(path)
+            assert out.columns == docs.columns and out.count() <= now.count()
+            now = out
+        last = corpus_pipeline.STAGES[-1][1](spark, now, DATA)
+        assert last.count() == now.count() and (empty or now.count() > 20)
+        assert now.where("text is null or trim(text) = ''").count() == 0  # such documents have no words
+
+
+def common_folder(spark):
+    from graphloom.sources.shared import new_folder
+
+    return new_folder(spark, "stage")
+
+
+FOREIGN_NAMES = "post-comments entry-comments sponsored-content reader-comments user-comments comment-thread disqus_thread discussion ad-slot google-ads newsletter-signup related-posts cookie-law-info gdpr-overlay page-footer site-info adSlot relatedPosts promo-box story-comments comments-area sponsoredContent".split()
+OWN_NAMES = "ad-hoc share-price comment-on-policy story text article-body load headline lead no-comments has-ads notice-board-history relatedness".split()
+STORY = "<p>Some text of the real story, with commas, and more of it, so that it scores well enough to be the best of all parts on this page.</p>"
+
+
+def test_html_parts_by_what_their_names_say():
+    kept = []
+    for name in FOREIGN_NAMES + OWN_NAMES:
+        page = f'<body><div class="wrapper"><div class="story"><h1>Title</h1>{STORY * 6}</div><div class="{name}"><p>Beside it, a sentence of some length.</p></div></div></body>'
+        kept += [name] if "Beside it" in html_extract.main_text(page) else []
+        whole = f'<body><div id="{name}"><h1>Title</h1>{STORY * 6}</div><div class="x"><p>Short.</p></div></body>'  # most of the page's prose
+        wholly = name in ("comments-area", "comment-thread")  # says nothing but that, so it goes even then
+        assert wholly or html_extract.main_text(whole).count("real story") == 6, name
+    assert kept == OWN_NAMES
+
+
+def test_html_articles_in_wrappers_of_their_own():
+    page = f'<body><div class="a"><article><h1>One</h1>{STORY * 5}</article></div><div class="b"><article><h2>Two</h2>{STORY * 4}</article></div><div class="c"><article><p>A teaser.</p></article></div><div class="comments"><article>{STORY * 4}</article></div></body>'
+    text = html_extract.main_text(page)
+    assert text.split("\n")[0] == "One" and "Two" in text and "teaser" not in text and text.count("real story") == 9
