@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .textbytes import ALNUM, LOWER, NOT_SPACE, find_words, slices, sums_by
+from .textbytes import ALNUM, LOWER, NOT_SPACE, SLICE_BYTES, pieces, slices, sums_by, text_bytes, words_of
 
 BUCKETS_LOG2 = 18
 TRAIN_DOCS = 12_000
@@ -43,22 +43,23 @@ class Model:
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct feature ids of each text, end to end, and where each text's begin."""
-    low = find_words(column, ALNUM, LOWER)
-    buckets = 1 << BUCKETS_LOG2
-    n = len(low.counts)
-    key = low.doc().astype(np.int64) * buckets + (low.hashes() & np.uint64(buckets - 1)).astype(np.int64)
-    key = np.unique(key)
-    words = find_words(column, NOT_SPACE)
-    size = np.maximum(np.diff(words.offsets), 1)
+    """Distinct feature ids of each text, end to end, and where each text's begin.
+
+    A column of one text of more than ``SLICE_BYTES`` is read in pieces of that size.
+    """
+    raw, off = text_bytes(column)
+    if len(off) != 2 or len(raw) <= SLICE_BYTES:
+        key, counts = _tally(raw, off)
+    else:
+        key, counts = np.zeros(0, np.int64), np.zeros((6, 1), np.int64)
+        for a, b in pieces(raw, NOT_SPACE, SLICE_BYTES):
+            found, more = _tally(raw[a:b], np.array([0, b - a]))
+            key, counts = np.union1d(key, found), counts + more
+    buckets, n = 1 << BUCKETS_LOG2, len(off) - 1
+    symbols, upper, punct, size, low, words = counts
+    size = np.maximum(size, 1)
     distinct = np.bincount(key // buckets, minlength=n)
-    ratios = [
-        sums_by(_SYMBOL[words.data], words.offsets) / size,
-        sums_by(_UPPER[words.data], words.offsets) / size,
-        sums_by(_PUNCT[words.data], words.offsets) / size,
-        distinct / np.maximum(low.counts, 1),
-        np.minimum(np.log2(1.0 + words.counts) / 16, 1),
-    ]
+    ratios = [symbols / size, upper / size, punct / size, distinct / np.maximum(low, 1), np.minimum(np.log2(1.0 + words) / 16, 1)]
     edges = [(0.005, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3), (0.005, 0.02, 0.05, 0.1, 0.2, 0.4, 0.6), (0.005, 0.02, 0.04, 0.08, 0.15, 0.25, 0.4), (0.02, 0.05, 0.1, 0.2, 0.4, 0.6, 0.8), (0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8)]
     style = np.stack([np.searchsorted(e, r, "right") + i * _STYLE_BINS for i, (e, r) in enumerate(zip(edges, ratios))], axis=1)
     of = np.concatenate([key // buckets, np.repeat(np.arange(n), style.shape[1])])
@@ -67,6 +68,16 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return ids[order], np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))]).astype(np.int64)
 
 
+def _tally(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted (text, bucket) keys of the words, and by text: symbols, capitals, punctuation, bytes, words by letters and by spaces."""
+    low = words_of(raw, off, ALNUM, LOWER)
+    buckets = 1 << BUCKETS_LOG2
+    key = np.unique(low.doc().astype(np.int64) * buckets + (low.hashes() & np.uint64(buckets - 1)).astype(np.int64))
+    words = words_of(raw, off, NOT_SPACE)
+    by_text = [sums_by(flags[words.data], off) for flags in (_SYMBOL, _UPPER, _PUNCT)]
+    return key, np.stack([*by_text, np.diff(off), low.counts, words.counts])
+
+
 N_FEATURES = (1 << BUCKETS_LOG2) + 5 * _STYLE_BINS
 
 

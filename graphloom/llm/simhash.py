@@ -34,21 +34,44 @@ from pyspark.sql import functions as F
 from ..sources.shared import Tables
 from .common import row_key
 from .components import connected_components
-from .textbytes import LOWER, NOT_SPACE, find_words, mix, slices
+from .textbytes import LOWER, NOT_SPACE, SLICE_BYTES, Words, mix, pieces, slices, text_bytes, words_of
 
 SHINGLE_WORDS = 3
 SEED = 42
 MAX_BITS = 3
 GROUP_LIMIT = 20_000
 RUN_ROWS = 200_000
+#: Shingles whose bits are counted at once
+BLOCK = 1 << 16
 
 
 def text_fingerprints(column: pa.Array, words: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
-    """SimHash of each text as unsigned 64-bit; texts without words (or null) give zero."""
-    w = find_words(column, NOT_SPACE, LOWER)
-    out = np.zeros(len(column), dtype=np.uint64)
+    """SimHash of each text as unsigned 64-bit; texts without words (or null) give zero.
+
+    A column of one text of more than ``SLICE_BYTES`` is read in pieces of that size,
+    so memory grows by a few bytes for each of the text; a single word is never cut.
+    """
+    raw, off = text_bytes(column)
+    if len(off) != 2 or len(raw) <= SLICE_BYTES:
+        return _majority(*_bit_counts(words_of(raw, off, NOT_SPACE, LOWER), words, seed))
+    ones, shingles, carried = np.zeros((1, 64), np.int64), np.zeros(1, np.int64), b""
+    for a, b in pieces(raw, NOT_SPACE, SLICE_BYTES):
+        part = np.concatenate([np.frombuffer(carried, np.uint8), raw[a:b]])
+        w = words_of(part, np.array([0, len(part)]), NOT_SPACE, LOWER)
+        if len(w.start) >= words or (b == len(raw) and not shingles[0]):
+            more, n = _bit_counts(w, words, seed)
+            ones, shingles = ones + more, shingles + n
+        # the next shingle begins with the last words of this piece
+        at = max(len(w.start) - words + 1, 0)
+        carried = b"".join(w.data[s:e].tobytes() + b" " for s, e in zip(w.start[at:], w.end[at:]))
+    return _majority(ones, shingles)
+
+
+def _bit_counts(w: Words, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each text, in how many shingles' hashes each of the 64 bits is set, and its shingles."""
+    ones, n_shingles = np.zeros((len(w.counts), 64), np.int64), np.zeros(len(w.counts), np.int64)
     if not len(w.start):
-        return out
+        return ones, n_shingles
     # words with one space between: the first separator after a word stays, as a space
     is_word = NOT_SPACE[w.data]
     keep = is_word.copy()
@@ -58,16 +81,22 @@ def text_fingerprints(column: pa.Array, words: int = SHINGLE_WORDS, seed: int =
     start, end = place[w.start], place[w.end - 1] + 1
     n, first = w.counts, w.first[:-1]
     has = np.flatnonzero(n > 0)
-    shingles = np.maximum(n[has] - words + 1, 1)
+    n_shingles[has] = shingles = np.maximum(n[has] - words + 1, 1)
     begin = np.concatenate([[0], np.cumsum(shingles)])
     head = np.repeat(first[has] - begin[:-1], shingles) + np.arange(begin[-1])
     tail = head + np.repeat(np.minimum(words, n[has]) - 1, shingles)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(packed[s:e], seed) for s, e in zip(start[head].tolist(), end[tail].tolist())), np.uint64, len(head))
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = np.add.reduceat(bits, begin[:-1], axis=0, dtype=np.int64)
-    out[has] = np.packbits(2 * ones > shingles[:, None], axis=1, bitorder="little").view("<u8").ravel()
-    return out
+    for i in range(0, len(head), BLOCK):
+        j = min(i + BLOCK, len(head))
+        hashes = np.fromiter((digest(packed[s:e], seed) for s, e in zip(start[head[i:j]].tolist(), end[tail[i:j]].tolist())), np.uint64, j - i)
+        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        a, b = int(np.searchsorted(begin, i, "right")) - 1, int(np.searchsorted(begin, j))  # the texts of this block
+        ones[has[a:b]] += np.add.reduceat(bits, np.maximum(begin[a:b] - i, 0), axis=0, dtype=np.int64)
+    return ones, n_shingles
+
+
+def _majority(ones: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    return np.packbits(2 * ones > shingles[:, None], axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:

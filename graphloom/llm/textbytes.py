@@ -2,7 +2,8 @@
 
 The word rules used here only separate ASCII characters, so they can be
 decided byte by byte: every byte of a multi-byte character is 0x80 or more.
-Each scan covers whole texts; rows are sliced only to bound memory.
+Each scan covers whole texts; rows are sliced, and sums of one long text held for
+a block at a time, only to bound memory.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+#: Bytes or values whose running sums are held at once
+BLOCK = 1 << 21
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -70,9 +73,25 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         at = to
 
 
+def pieces(raw: np.ndarray, is_word: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``size`` bytes that cover a text and cut no word; a longer word is in one range."""
+    at = 0
+    while at < len(raw):
+        to = min(at + size, len(raw))
+        while to < len(raw) and is_word[raw[to]]:
+            gap = np.flatnonzero(~is_word[raw[to : to + size]])
+            to = to + int(gap[0]) if len(gap) else min(to + size, len(raw))
+        yield at, to
+        at = to
+
+
 def find_words(column: pa.Array, is_word: np.ndarray, fold: np.ndarray = SAME) -> Words:
     """Maximal runs of word bytes in each text, after mapping bytes by ``fold``."""
-    raw, off = text_bytes(column)
+    return words_of(*text_bytes(column), is_word, fold)
+
+
+def words_of(raw: np.ndarray, off: np.ndarray, is_word: np.ndarray, fold: np.ndarray = SAME) -> Words:
+    """``find_words`` of texts end to end that begin at ``off``."""
     data = fold[raw]
     mask = is_word[data]
     inner = off[1:-1][(off[1:-1] > 0) & (off[1:-1] < len(data))]
@@ -103,12 +122,28 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hash of each span of ``data``: equal spans, equal hashes."""
-    size = 1 << int(len(data) + 1).bit_length()
-    power, inverse = _powers(max(size, 1 << 20))
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], dtype=np.uint64, out=sums[1:])
-    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+    """64-bit polynomial hash of each span of ``data``: equal spans, equal hashes.
+
+    ``start`` and ``end`` ascend. Sums are held for ``BLOCK`` bytes at a time.
+    """
+    power, inverse = _powers(BLOCK + 1)
+    (from_start, unshift), (from_end, _) = (_powered_before(data, at, power, inverse) for at in (start, end))
+    return mix((from_end - from_start) * unshift + (end - start).astype(np.uint64))
+
+
+def _powered_before(data: np.ndarray, at: np.ndarray, power: np.ndarray, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each position p of the ascending ``at``: the sum of (byte + 1) * base ** i over all i before p, and base ** -p."""
+    sums, unshift = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    done, up, down = np.zeros(1, np.uint64), np.ones(1, np.uint64), np.ones(1, np.uint64)
+    for b in range(0, len(data) + 1, BLOCK):
+        lo, hi = np.searchsorted(at, (b, b + BLOCK))
+        part = data[b : b + BLOCK]
+        local = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], dtype=np.uint64, out=local[1:])
+        here = at[lo:hi] - b
+        sums[lo:hi], unshift[lo:hi] = done + up * local[here], down * inverse[here]
+        done, up, down = done + up * local[-1:], up * power[BLOCK], down * inverse[BLOCK]
+    return sums, unshift
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -120,7 +155,17 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def sums_before(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sum of ``values[:p]`` for each p of the ascending ``at``; running sums are held for a block at a time."""
+    out, done = np.zeros(len(at), np.int64), 0
+    for b in range(0, len(values) + 1, BLOCK):
+        lo, hi = np.searchsorted(at, (b, b + BLOCK))
+        local = np.concatenate([np.zeros(1, np.int64), np.cumsum(values[b : b + BLOCK], dtype=np.int64)])
+        out[lo:hi] = done + local[at[lo:hi] - b]
+        done += int(local[-1])
+    return out
+
+
 def sums_by(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of ``values[first[d]:first[d + 1]]`` for each d."""
-    total = np.concatenate([np.zeros(1, np.int64), np.cumsum(values, dtype=np.int64)])
-    return total[first[1:]] - total[first[:-1]]
+    return np.diff(sums_before(values, first))

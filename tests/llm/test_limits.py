@@ -2,10 +2,12 @@
 
 import random
 import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
-from graphloom.llm import decontaminate, html_extract, line_dedup, registry, sentencepiece_codec
+from graphloom.llm import decontaminate, html_extract, line_dedup, quality_classifier, quality_rules, registry, sentencepiece_codec, simhash, textbytes
 
 
 def test_long_chunks_have_the_ids_of_lanes():
@@ -42,6 +44,58 @@ def test_a_hundred_thousand_equal_words(spark):
     assert got == {1: (100_000, 100_000, ["7", "8"], 1), 2: (13, 0, [], 0), 3: (14, 13, ["7", "8"], 1)} and time.time() - began < 90
 
 
+def odd_texts():
+    pick = random.Random(1)
+    words = ["wört", "The", "a", "x" * 9, "日本", "a#b!", "17", "|"]
+    text = lambda n: "".join(pick.choice(words) + pick.choice([" ", "  ", "\n", "\t ", "\n\n"]) for _ in range(n))
+    return [text(n) + pick.choice(["", " ", " " * 40, "y" * 300]) for n in (0, 1, 2, 3, 5, 50, 400) * 8] + ["a b" + " " * 900, "  ", "", "q" * 700, "x " * 2 + " " * 500 + "z", "same line\n" * 90]
+
+
+@pytest.mark.parametrize("size", [7, 64, 300])
+def test_texts_in_pieces_give_what_whole_texts_give(monkeypatch, size):
+    texts = odd_texts()
+    together = pa.array(texts)
+    prints, features = simhash.text_fingerprints(together), [quality_classifier.features(pa.array([t])) for t in texts]
+    lines = quality_rules.Lines(together)
+    hashes = [textbytes.find_words(together, w).hashes() for w in (textbytes.ALNUM, textbytes.NOT_SPACE)]
+    monkeypatch.setattr(simhash, "SLICE_BYTES", size)
+    monkeypatch.setattr(simhash, "BLOCK", size)
+    monkeypatch.setattr(quality_classifier, "SLICE_BYTES", size)
+    monkeypatch.setattr(textbytes, "BLOCK", size)
+    textbytes._powers.cache_clear()
+    assert prints.tolist() == simhash.text_fingerprints(together).tolist() == [int(simhash.text_fingerprints(pa.array([t]))[0]) for t in texts]
+    for t, want in zip(texts, features):
+        assert [x.tolist() for x in quality_classifier.features(pa.array([t]))] == [x.tolist() for x in want]
+    again = quality_rules.Lines(together)
+    for name in ("words", "counts", "word_chars", "symbols", "dup_lines", "repeat_words", "features"):
+        assert (getattr(again, name) == getattr(lines, name)).all(), name
+    for w, want in zip((textbytes.ALNUM, textbytes.NOT_SPACE), hashes):
+        assert (textbytes.find_words(together, w).hashes() == want).all()
+    monkeypatch.undo()
+    textbytes._powers.cache_clear()
+
+
+def test_memory_of_a_long_text():
+    """A text of 24 MB takes less than 20 times its size beside itself in each scan."""
+    pick = random.Random(1)
+    text = "\n".join(" ".join(f"w{pick.randrange(9973)}x{i}" for i in range(12)) for _ in range(250_000))
+    column = pa.array([text])
+    textbytes._powers(textbytes.BLOCK + 1)
+
+    def winnow():
+        w = textbytes.find_words(column, textbytes.ALNUM, textbytes.LOWER)
+        return decontaminate.winnow(w, w.hashes(), 13)
+
+    peaks = {}
+    tracemalloc.start()
+    for name, scan in {"op1": winnow, "op6": lambda: quality_rules.Lines(column), "op7": lambda: simhash.text_fingerprints(column), "op9": lambda: quality_classifier.features(column)}.items():
+        tracemalloc.reset_peak()
+        scan()
+        peaks[name] = tracemalloc.get_traced_memory()[1] / len(text)
+    tracemalloc.stop()
+    assert peaks["op1"] < 20 and peaks["op6"] < 20 and peaks["op7"] < 10 and peaks["op9"] < 10, peaks
+
+
 @pytest.mark.xfail(run=False, reason="does not end in 280 seconds: Spark's bounded edit distance takes time that grows with the square of a line's length, and 1,464 pairs are compared")
 @pytest.mark.parametrize("spaces", [True, False])
 def test_a_hundred_long_lines_that_share_most(spark, spaces):
