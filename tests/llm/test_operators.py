@@ -338,6 +338,41 @@ def test_long_lines_link_within_a_twentieth(spark, hot):
     assert sum(t == "" for t in got.values()) > 20
 
 
+@pytest.mark.parametrize("block", [1024, 7])
+def test_links_of_lines_that_share_one_sentence_with_many(spark, monkeypatch, block):
+    """Pairs of three edits whose only common segment is in four hundred lines, of which no third one links to both."""
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    rnd = random.Random(14)
+    common = "This one sentence is the same in every line of the page, "
+    rows = []
+    for i in range(200):
+        words = ["".join(rnd.choices("bcdfghjklmpqvwxyz", k=5)) for _ in range(8)]
+        other = [w[:2] + "#" + w[3:] if j % 3 == 1 else w for j, w in enumerate(words)]
+        rows += [(2 * i, common + " ".join(words)), (2 * i + 1, common + " ".join(other))]
+    got = {r.doc_id: r.text for r in line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(edits(rows[2 * i][1], rows[2 * i + 1][1]) == 3 for i in range(200))
+    assert got == {i: "" if i % 2 else t for i, t in rows}
+
+
+def test_short_rests_of_two_edits_in_a_large_group(spark):
+    rnd = random.Random(15)
+    ends = rnd.sample([a + b + c for a in "abcdefgh" for b in "ijklmnop" for c in "qrstuvw"], 60)
+    rows = [(2 * i, "one beginning " + e * 3) for i, e in enumerate(ends)]
+    rows += [(2 * i + 1, t[:-1] + "##") for i, (_, t) in enumerate(rows)]
+    want = lines_linked(rows, 2)
+    got = {r.doc_id: r.text for r in line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), threshold=2, hot_limit=1).collect()}
+    assert got == want and sum(t == "" for t in got.values()) >= 60
+
+
+def lines_linked(rows, threshold):
+    sets = Sets()
+    for i, a in rows:
+        for j, b in rows:
+            if j < i and (a == b or edits(a, b) <= threshold and 5 * edits(a, b) <= max(len(a), len(b))):
+                sets.join(i, j)
+    return {i: t if sets.find(i) == i else "" for i, t in rows}
+
+
 def test_sentencepiece_round_trip_and_best_score(spark, docs, odd):
     v = registry.piece_vocabulary()
     for table in (docs, odd):
