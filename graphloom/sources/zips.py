@@ -1,7 +1,9 @@
 """Members of zip archives as a data source of Spark, planned from the archives' central directories.
 
 A task is a member, or a byte range of a member that is stored without
-compression. Its bytes are streamed from the archive's own file system by
+compression; where there are more than ``TASKS`` of these, small ones are dealt
+together by their bytes, whole archives where there are so many, so the number
+of tasks grows with the bytes and not with the members. Its bytes are streamed from the archive's own file system by
 seeking, so neither an archive nor a member is ever held whole, and archives
 and members may be larger than any memory.
 """
@@ -10,10 +12,11 @@ from __future__ import annotations
 
 import fnmatch
 import io
+import itertools
 import struct
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -23,20 +26,29 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 SPLIT = 128 << 20  # bytes of a task of a stored member
+TASKS = 64  # up to so many members, or archives, have a task of their own
+OPENING = 1 << 16  # bytes that opening a member counts for
 _ROWS, _BYTES = 50_000, 16 << 20  # of a batch, at most
 _LOCAL = struct.Struct("<26xHH")  # the local header's lengths of name and extra field
 
 
 @dataclass
 class Member(InputPartition):
-    """A member of an archive, from byte ``start`` up to ``end`` if it is stored, whole if ``end`` is None."""
+    """A member of an archive, from byte ``start`` up to ``end`` if it is stored, whole if ``end`` is None; all members that fit if ``name`` is None."""
 
     archive: str
-    name: str
+    name: str | None
     start: int
     end: int | None
 
 
+@dataclass
+class Members(InputPartition):
+    """Members that one task reads in turn."""
+
+    parts: list[Member]
+
+
 def _files(path: str):
     from pyarrow import fs
 
@@ -48,50 +60,78 @@ class MemberReader(DataSourceReader):
         self.path, self.pattern = options["path"], options.get("member", "*")
         self.split, self.tag = int(options.get("split", SPLIT)), options.get("element")
 
-    def partitions(self) -> list[Member]:
+    def partitions(self) -> list[InputPartition]:
         from pyarrow import fs
 
         store, root = _files(self.path)
         info = store.get_file_info(root)
         if info.type == fs.FileType.Directory:
-            archives = sorted(i.path for i in store.get_file_info(fs.FileSelector(root, recursive=True)) if i.type == fs.FileType.File and i.base_name.lower().endswith(".zip"))
+            found = store.get_file_info(fs.FileSelector(root, recursive=True))
+            archives = sorted((i.path, i.size) for i in found if i.type == fs.FileType.File and i.base_name.lower().endswith(".zip"))
         else:
-            archives = [root]
-        out = []
-        for archive in archives:
+            archives = [(root, info.size)]
+        # of many archives only the large ones are opened here
+        opened = [a for a in archives if len(archives) <= TASKS or a[1] > self.split]
+        sized = [(Member(a, None, 0, None), size) for a, size in archives if len(archives) > TASKS and size <= self.split]
+        for archive, _ in opened:
             with store.open_input_file(archive) as f, zipfile.ZipFile(f) as z:  # reads the directory at the archive's end
-                for m in z.infolist():
-                    if m.is_dir() or not fnmatch.fnmatchcase(m.filename, self.pattern):
-                        continue
-                    if m.flag_bits & 1:
-                        raise ValueError(f"{archive}: {m.filename} is encrypted")
+                for m in self._fitting(archive, z):
                     if m.compress_type == zipfile.ZIP_STORED and m.file_size > self.split and not self.tag:
-                        out += [Member(archive, m.filename, at, min(at + self.split, m.file_size)) for at in range(0, m.file_size, self.split)]
+                        sized += [(Member(archive, m.filename, at, min(at + self.split, m.file_size)), self.split) for at in range(0, m.file_size, self.split)]
                     else:
-                        out.append(Member(archive, m.filename, 0, None))
-        return out or [Member("", "", 0, None)]  # Spark reads one partition at least
-
-    def read(self, partition: Member) -> Iterator[pa.RecordBatch]:
+                        sized.append((Member(archive, m.filename, 0, None), m.compress_size))
+        return _dealt(sized, self.split) or [Member("", "", 0, None)]  # Spark reads one partition at least
+
+    def _fitting(self, archive: str, z: zipfile.ZipFile) -> Iterator[zipfile.ZipInfo]:
+        for m in z.infolist():
+            if m.is_dir() or not fnmatch.fnmatchcase(m.filename, self.pattern):
+                continue
+            if m.flag_bits & 1:
+                raise ValueError(f"{archive}: {m.filename} is encrypted")
+            yield m
+
+    def read(self, partition: Member | Members) -> Iterator[pa.RecordBatch]:
+        parts = partition.parts if isinstance(partition, Members) else [partition]
         store, _ = _files(self.path)
-        if not partition.archive:
+        return _batches(row for archive, own in itertools.groupby(parts, key=lambda p: p.archive) if archive for row in self._rows(store, archive, own))
+
+    def _rows(self, store, archive: str, parts: Iterable[Member]) -> Iterator[tuple[str, str, int, str]]:
+        """The rows of members of one archive, which is opened once."""
+        with store.open_input_file(archive) as f, zipfile.ZipFile(f) as z:
+            for p in parts:
+                for name in [p.name] if p.name is not None else [m.filename for m in self._fitting(archive, z)]:
+                    for at, text in self._found(f, z, name, p):
+                        yield archive, name, at, text
+
+    def _found(self, f, z: zipfile.ZipFile, name: str, partition: Member) -> Iterator[tuple[int, str]]:
+        if self.tag or partition.end is None:
+            with z.open(name) as member:
+                yield from _elements(member, self.tag) if self.tag else _lines(member, 0, None)
             return
-        with store.open_input_file(partition.archive) as f, zipfile.ZipFile(f) as z:
-            if self.tag:
-                with z.open(partition.name) as member:
-                    yield from _batches(partition, _elements(member, self.tag))
-            elif partition.end is None:
-                with z.open(partition.name) as member:
-                    yield from _batches(partition, _lines(member, 0, None))
-            else:
-                m = z.getinfo(partition.name)
-                f.seek(m.header_offset)
-                begin = m.header_offset + _LOCAL.size + sum(_LOCAL.unpack(f.read(_LOCAL.size)))
-                f.seek(begin + max(partition.start - 1, 0))
-                stored = _Stored(f, m.file_size - max(partition.start - 1, 0))
-                at = partition.start
-                if at:  # the line that this range begins in belongs to the range before
-                    at += len(stored.readline()) - 1
-                yield from _batches(partition, _lines(stored, at, partition.end))
+        m = z.getinfo(name)
+        f.seek(m.header_offset)
+        begin = m.header_offset + _LOCAL.size + sum(_LOCAL.unpack(f.read(_LOCAL.size)))
+        f.seek(begin + max(partition.start - 1, 0))
+        stored = _Stored(f, m.file_size - max(partition.start - 1, 0))
+        at = partition.start
+        if at:  # the line that this range begins in belongs to the range before
+            at += len(stored.readline()) - 1
+        yield from _lines(stored, at, partition.end)
+
+
+def _dealt(sized: list[tuple[Member, int]], split: int) -> list[InputPartition]:
+    """A task for each, or for neighbours together where there are more than ``TASKS``: of ``split`` bytes, or less where that gives ``TASKS`` tasks."""
+    if len(sized) <= TASKS:
+        return [m for m, _ in sized]
+    most = max(1, min(split, sum(size + OPENING for _, size in sized) // TASKS))
+    out, own, held = [], [], 0
+    for member, size in sized:
+        if own and held + size + OPENING > most:
+            out.append(Members(own))
+            own, held = [], 0
+        own.append(member)
+        held += size + OPENING
+    return [*out, Members(own)]
 
 
 class _Stored(io.BufferedIOBase):
@@ -148,22 +188,21 @@ def _elements(file, tag: str) -> Iterator[tuple[int, str]]:
     return
 
 
-def _batches(partition: Member, found: Iterator[tuple[int, str]]) -> Iterator[pa.RecordBatch]:
-    at, text, size = [], [], 0
-    for position, line in found:
-        at.append(position)
-        text.append(line)
-        size += len(line)
-        if len(at) == _ROWS or size >= _BYTES:
-            yield _batch(partition, at, text)
-            at, text, size = [], [], 0
-    if at:
-        yield _batch(partition, at, text)
+def _batches(found: Iterable[tuple[str, str, int, str]]) -> Iterator[pa.RecordBatch]:
+    rows, size = [], 0
+    for row in found:
+        rows.append(row)
+        size += len(row[3])
+        if len(rows) == _ROWS or size >= _BYTES:
+            yield _batch(rows)
+            rows, size = [], 0
+    if rows:
+        yield _batch(rows)
 
 
-def _batch(partition: Member, at: list[int], text: list[str]) -> pa.RecordBatch:
-    named = [pa.array([x] * len(at), pa.string()) for x in (partition.archive, partition.name)]
-    return pa.RecordBatch.from_arrays([*named, pa.array(at, pa.int64()), pa.array(text, pa.string())], ["archive", "member", "at", "text"])
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = {"archive": pa.string(), "member": pa.string(), "at": pa.int64(), "text": pa.string()}
+    return pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in zip(zip(*rows), types.values())], list(types))
 
 
 class ZipMembers(DataSource):

@@ -128,3 +128,17 @@ def test_a_member_is_streamed(tmp_path):
     reader = MemberReader({"path": str(tmp_path)})
     batches = [b.num_rows for b in reader.read(Member(str(tmp_path / "big.zip"), "big.txt", 0, None))]
     assert sum(batches) == 300 * 1024 and max(batches) * 1024 <= 17 << 20
+
+
+@pytest.mark.parametrize("tasks", [3, 8])
+def test_many_members_share_tasks(spark, tmp_path, monkeypatch, tasks):
+    """Forty members of five archives are no forty tasks; with more archives than tasks, whole ones are dealt out."""
+    rows = [(f"{i % 5}.zip", f"m{i % 8}.txt", i, f"{i} é") for i in range(400)]
+    zips.write(spark.createDataFrame(rows, "archive string, member string, at long, text string"), str(tmp_path))
+    monkeypatch.setattr(zips, "TASKS", tasks)
+    reader = zips.MemberReader({"path": str(tmp_path), "member": "m[1-7]*"})
+    parts = reader.partitions()
+    assert len(parts) <= tasks + 2 and len({m.archive for p in parts for m in p.parts}) == 5
+    got = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert sorted((r["archive"].rpartition("/")[2], r["member"], r["text"]) for r in got) == sorted((a, m, t) for a, m, _, t in rows if m != "m0.txt")
+    assert all(zipfile.ZipFile(r["archive"]).read(r["member"])[r["at"] :].startswith(r["text"].encode() + b"\n") for r in got)
