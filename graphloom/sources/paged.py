@@ -20,17 +20,20 @@ from __future__ import annotations
 
 import json
 import operator
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import Row, StructType
 
 INDEX = "_pages.json"
+HELD = 16  # pages of a task that are Python values at a time
 #: Keys of an envelope, in the order of their names; a page keeps those that its writer is given
 ENVELOPE = ("httpStatus", "paging", "payload", "requestpar", "status", "warnings")
 _COMPARE = {"=": operator.eq, "<>": operator.ne, ">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le, "in": lambda a, b: a in b}
@@ -160,8 +163,8 @@ def _fitted(value, kind: T.DataType):
     raise ValueError(f"pages have no values of type {kind.simpleString()}")
 
 
-class PageWriter(DataSourceWriter):
-    """Writes rows (stage, page, payload and other envelope keys), one file each."""
+class PageWriter(DataSourceArrowWriter):
+    """Writes rows (stage, page, payload and other envelope keys), one file each, a few at a time of the batches that Spark sends."""
 
     def __init__(self, options: dict, schema: StructType):
         self.root, self.index = options["path"], options.get("index", "true").lower() == "true"
@@ -171,19 +174,24 @@ class PageWriter(DataSourceWriter):
         if odd or not {"stage", "page", "payload"} <= set(schema.fieldNames()):
             raise ValueError(f"pages are (stage, page, payload) and of {ENVELOPE}, not {odd or schema.fieldNames()}")
 
-    def write(self, iterator: Iterator[Row]) -> Written:
+        # made here and by no task, so a task that still runs when the job is undone finds no folder to write to
+        store, root = _files(self.root)
+        store.create_dir(f"{root}/{self.folder}")
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, root = _files(self.root)
         done = []
-        for row in iterator:
-            if row["stage"] is None or row["page"] is None or row["page"] < 0 or not row["stage"] or "/" in row["stage"] or row["stage"][0] in "._":
-                raise ValueError(f"not a page of a stage: {row['stage']!r}, {row['page']!r}")
-            envelope = {k: _plain(row[k]) for k in self.keys}
-            name = f"{root}/{self.folder}/{uuid.uuid4().hex}"
-            store.create_dir(f"{root}/{self.folder}")
-            rows = len(envelope["payload"] or [])
-            done.append((row["stage"], row["page"], rows, _total(envelope, rows), name))
-            with store.open_output_stream(name) as f:
-                f.write(json.dumps(envelope, ensure_ascii=False, indent=2, sort_keys=True).encode())
+        for batch in iterator:
+            kinds = {f.name: f.type for f in batch.schema}
+            for row in (row for at in range(0, batch.num_rows, HELD) for row in batch.slice(at, HELD).to_pylist()):
+                if row["stage"] is None or row["page"] is None or row["page"] < 0 or not row["stage"] or "/" in row["stage"] or row["stage"][0] in "._":
+                    raise ValueError(f"not a page of a stage: {row['stage']!r}, {row['page']!r}")
+                envelope = {k: _plain(row[k], kinds[k]) for k in self.keys}
+                name = f"{root}/{self.folder}/{uuid.uuid4().hex}"
+                rows = len(envelope["payload"] or [])
+                done.append((row["stage"], row["page"], rows, _total(envelope, rows), name))
+                with store.open_output_stream(name) as f:
+                    f.write(json.dumps(envelope, ensure_ascii=False, indent=2, sort_keys=True).encode())
         return Written(done)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -208,20 +216,27 @@ class PageWriter(DataSourceWriter):
     def abort(self, messages: list[Written | None]) -> None:
         """Removes what tasks wrote, those that failed included."""
         store, root = _files(self.root)
-        try:
-            store.delete_dir(f"{root}/{self.folder}")
-        except FileNotFoundError:
-            pass  # no task has written yet
-
-
-def _plain(value):
-    """A value of a row as JSON has it: without the fields that are null, as an answer leaves them out."""
-    if isinstance(value, Row):
-        return {k: _plain(v) for k, v in value.asDict().items() if v is not None}
-    if isinstance(value, dict):
-        return {k: _plain(v) for k, v in value.items()}
-    if isinstance(value, (list, tuple)):
-        return [_plain(v) for v in value]
+        for turn in range(20):
+            try:
+                store.delete_dir(f"{root}/{self.folder}")
+            except FileNotFoundError:
+                return
+            except OSError:  # a task that is being ended has put a file into it meanwhile
+                if turn == 19:
+                    raise
+                time.sleep(0.1)
+
+
+def _plain(value, kind: pa.DataType):
+    """A value of a batch as JSON has it: structs without the fields that are null, as an answer leaves them out."""
+    if value is None:
+        return None
+    if pa.types.is_struct(kind):
+        return {f.name: _plain(value[f.name], f.type) for f in kind if value[f.name] is not None}
+    if pa.types.is_map(kind):
+        return {k: _plain(v, kind.item_type) for k, v in value}
+    if pa.types.is_list(kind) or pa.types.is_large_list(kind):
+        return [_plain(v, kind.value_type) for v in value]
     return value
 
 

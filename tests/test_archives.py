@@ -142,3 +142,35 @@ def test_many_members_share_tasks(spark, tmp_path, monkeypatch, tasks):
     got = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
     assert sorted((r["archive"].rpartition("/")[2], r["member"], r["text"]) for r in got) == sorted((a, m, t) for a, m, _, t in rows if m != "m0.txt")
     assert all(zipfile.ZipFile(r["archive"]).read(r["member"])[r["at"] :].startswith(r["text"].encode() + b"\n") for r in got)
+
+
+def test_pages_of_a_batch_are_written_a_few_at_a_time(tmp_path):
+    """A batch of 4,000 pages of 100 records is never a table of Python values."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    schema = T.StructType.fromDDL("stage string, page int, payload array<struct<k:bigint,v:double>>, paging map<string,int>")
+    records = [{"k": i, "v": None if i == 3 else i / 8} for i in range(100)]
+    batch = pa.RecordBatch.from_pydict({"stage": ["s"] * 4000, "page": list(range(4000)), "payload": [records] * 4000, "paging": [[("totalElements", 7)]] * 4000}, schema=pa.schema([("stage", pa.string()), ("page", pa.int32()), ("payload", pa.list_(pa.struct([("k", pa.int64()), ("v", pa.float64())]))), ("paging", pa.map_(pa.string(), pa.int32()))]))
+    writer = paged.PageWriter({"path": str(tmp_path)}, schema)
+    tracemalloc.start()
+    done = writer.write(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 << 20, peak
+    writer.commit([done])
+    page = json.loads((tmp_path / "s" / "page_3999.json").read_text())
+    assert page["paging"] == {"totalElements": 7} and page["payload"][2:4] == [{"k": 2, "v": 0.25}, {"k": 3}] and len(page["payload"]) == 100
+
+
+def test_a_task_that_outlives_its_job_leaves_no_page(tmp_path):
+    import pyarrow as pa
+
+    schema = T.StructType.fromDDL("stage string, page int, payload array<int>")
+    batch = pa.RecordBatch.from_pydict({"stage": ["s"], "page": pa.array([0], pa.int32()), "payload": [[1]]})
+    writer = paged.PageWriter({"path": str(tmp_path)}, schema)
+    writer.abort([])
+    with pytest.raises(FileNotFoundError):
+        writer.write(iter([batch]))
+    assert not [p for p in tmp_path.rglob("*") if p.is_file()]
