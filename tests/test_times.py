@@ -80,6 +80,14 @@ def test_last_rows_across_batches(spark, tmp_path):
     assert last == {k: (rank[2], v) for k, (rank, v) in best.items()}
 
 
+def test_last_rows_of_keys_without_expiry_need_no_python(spark, tmp_path):
+    """No call of Python for each key: the plan of a batch is an aggregation of Spark."""
+    spark.createDataFrame([("a", moment(1), 1)], "k string, moment timestamp, n long").write.parquet(f"{tmp_path}/landed")
+    stream = landing.landed(spark, f"{tmp_path}/landed", spark.read.parquet(f"{tmp_path}/landed").schema, 1)
+    plan = latest.last_rows(stream, ["k"], ["moment", "n"], "moment")._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" in plan and "TransformWithState" not in plan
+
+
 def test_keys_are_forgotten_behind_the_watermark(spark, tmp_path):
     for n, part in enumerate([[("a", 0, 1)], [("b", 1000, 2)], [("c", 2000, 3)], [("a", 2000, 4), ("b", 5, 5)]]):
         spark.createDataFrame([(k, moment(s), i) for k, s, i in part], "k string, moment timestamp, n long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/landed")
