@@ -6,6 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows of a task of ``spread``
+TASK_ROWS = 500_000
+
+
+def spread(rows: DataFrame, *keys: str, task_rows: int | None = None) -> DataFrame:
+    """``rows`` by keys in tasks of about ``task_rows`` rows, where the session's number of tasks would give larger ones; counts ``rows`` first."""
+    parts = -(-rows.count() // (task_rows or TASK_ROWS))
+    return rows.repartition(parts, *keys) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 def fanout(rows: DataFrame, lists: list[Column], index: DataFrame, key: str) -> DataFrame:
     """A row for each match of any distinct element of the lists with ``key`` of ``index``."""
     each = rows.withColumn(key, F.explode(F.array_distinct(F.concat(*lists))))
