@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .joins import spread
+
 
 def _pick(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     # the limit on the rank leaves one row of a key in each task before the shuffle
@@ -44,5 +46,5 @@ def undirected_edges(df: DataFrame, a: str, b: str, order: list[str]) -> DataFra
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     lo, hi = F.least(a, b), F.greatest(a, b)
     canonical = both.withColumns({"edge_id": F.concat_ws("|", lo.cast("string"), hi.cast("string")), "_lo": lo, "_hi": hi})
-    kept = first_wins(canonical, ["edge_id"], order)
+    kept = first_wins(spread(canonical, "edge_id"), ["edge_id"], order)  # sorted in tasks that do not grow with the table
     return kept.withColumns({a: F.col("_lo"), b: F.col("_hi")}).drop("_lo", "_hi")

@@ -134,3 +134,14 @@ def test_stream_keeps_the_last_row_of_each_key(spark, tmp_path):
     query = landing.append_latest(landing.landed(spark, str(tmp_path / "in"), df.schema), ["k"], ["s"], str(tmp_path / "out"), str(tmp_path / "cp"))
     query.awaitTermination(60)
     assert rows(spark.read.parquet(str(tmp_path / "out")).select("k", "s", "v")) == [(1, 2, "b"), (2, 1, "c")]
+
+
+def test_edges_are_grouped_in_tasks_that_do_not_grow(spark, monkeypatch):
+    from graphloom.operators import joins
+
+    monkeypatch.setattr(joins, "TASK_ROWS", 100)
+    rows = spark.range(2000).selectExpr("id % 700 as a", "id % 900 as b", "id as n")
+    edges = dedupe.undirected_edges(rows, "a", "b", ["n"])
+    most = edges.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert edges.count() == len({(min(i % 700, i % 900), max(i % 700, i % 900)) for i in range(2000)}) and most < 200
+    assert joins.spread(rows, "a", task_rows=1000) is rows
