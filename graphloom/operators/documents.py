@@ -12,6 +12,7 @@ from .profile import json_type
 
 C = F.col
 ITEM = "[]"  # stands in a path for an element of a list
+LEVELS = 6  # of containers, which are opened in one pass
 
 
 def _entries(df: DataFrame, value: str) -> DataFrame:
@@ -25,6 +26,31 @@ def _kind(value: Column) -> Column:
     return F.when(F.is_variant_null(value), "null").when(F.startswith(kind, F.lit("OBJECT")), "object").when(F.startswith(kind, F.lit("ARRAY")), "array").otherwise(F.lower(kind))
 
 
+def _opened(level: DataFrame) -> DataFrame:
+    """The values of ``level``, and those inside its containers that are still held; only new containers are held then."""
+    open_ = level.select("*", F.explode(F.when(C("held").isNotNull(), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("inside"))
+    each = open_.lateralJoin(level.sparkSession.tvf.variant_explode_outer(F.when(C("inside"), C("held")).outer())).where(~C("inside") | C("pos").isNotNull())
+    listed, new = C("kind") == "array", lambda x, old: F.when(C("inside"), x).otherwise(old)
+    path, at = F.concat("path", F.array(F.when(listed, ITEM).otherwise(C("key")))), F.when(listed, F.concat("at", F.array(C("pos") + 1))).otherwise(C("at"))
+    return _valued(each.select("_doc", new(path, C("path")).alias("path"), new(at, C("at")).alias("at"), C("value"), new(_kind(C("value")), C("kind")).alias("kind"), new(F.lit(None), C("text")).alias("text")))
+
+
+def _valued(level: DataFrame) -> DataFrame:
+    """``value`` of new rows becomes ``text`` of scalars, and is ``held`` of containers."""
+    container = C("kind").isin("object", "array")
+    text = F.when(container | C("kind").isin("null", "invalid") | C("value").isNull(), C("text")).otherwise(C("value").cast("string"))
+    return level.select("_doc", "path", "at", F.when(container, C("value")).alias("held"), "kind", text.alias("text"))
+
+
+def _deeper(doc: str) -> Column:
+    """Whether a JSON text has containers in more than ``LEVELS`` levels: brackets outside of strings are left after so many rounds without the innermost ones."""
+    bare = F.replace(F.replace(C(doc), F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit(""))
+    left = F.regexp_replace(F.regexp_replace(bare, '"[^"]*+"', ""), r"[^\[\]{}]++", "")
+    for _ in range(LEVELS):
+        left = F.regexp_replace(left, r"\{\}|\[\]", "")
+    return F.coalesce(left != "", F.lit(False))
+
+
 def flatten(docs: DataFrame, doc: str, key: str) -> DataFrame:
     """(``key``, path array<string>, at array<int>, kind, text): every value at every depth of the JSON texts ``doc``, the whole document first.
 
@@ -32,24 +58,33 @@ def flatten(docs: DataFrame, doc: str, key: str) -> DataFrame:
     their 1-based positions in lists, in order. ``text`` is of scalars only. A
     text that is no JSON, or null, has one row of kind ``invalid``; of fields that repeat in an
     object the last counts. Fields are no list: their order is that of their
-    names. One round for each level, so as many as the deepest document has;
-    what a round reads is what the one before it found.
+    names. The texts are written once. Those of up to ``LEVELS`` levels are
+    opened in one pass, without a table of their values; what others
+    hold is written after so many levels, for as many rounds as the deepest has.
     """
     tables = Tables(docs.sparkSession)
     none = [F.array().cast(f"array<{t}>").alias(n) for t, n in (("string", "path"), ("int", "at"))]
-    level, found, depth = docs.select(C(key).alias("_doc"), *none, F.try_parse_json(doc).alias("held")), None, 0
-    while True:
-        level = tables.put(f"level{depth}", level.withColumn("kind", F.when(C("held").isNull(), "invalid").otherwise(_kind(C("held")))))
-        found = level if found is None else found.unionByName(level)
-        inner = level.where(C("kind").isin("object", "array"))
-        if inner.isEmpty():
-            break
-        listed = C("kind") == "array"
-        path, at = F.concat("path", F.array(F.when(listed, ITEM).otherwise(C("key")))), F.when(listed, F.concat("at", F.array(C("pos") + 1))).otherwise(C("at"))
-        level = _entries(inner, "held").select("_doc", path.alias("path"), at.alias("at"), C("value").alias("held"))
-        depth += 1
-    scalar = ~C("kind").isin("object", "array", "null", "invalid")
-    return found.select(C("_doc").alias(key), "path", "at", "kind", F.when(scalar, C("held").cast("string")).alias("text"))
+    texts = tables.put("texts", docs.select(C(key).alias("_doc"), C(doc).alias("doc")).withColumn("deep", _deeper("doc")))
+
+    def whole(some: DataFrame) -> DataFrame:
+        parsed = some.select("_doc", *none, F.try_parse_json("doc").alias("value"))
+        return _valued(parsed.select("*", F.when(C("value").isNull(), "invalid").otherwise(_kind(C("value"))).alias("kind"), F.lit(None).cast("string").alias("text")))
+
+    def opened(level: DataFrame) -> DataFrame:
+        for _ in range(LEVELS):
+            level = _opened(level)
+        return level
+
+    # no value can be lost, should a text be deeper than its brackets say
+    done = F.when(C("held").isNotNull(), F.raise_error(F.lit("a document is deeper than its brackets")).cast("boolean")).otherwise(True)
+    found = opened(whole(texts.where("not deep"))).where(done).drop("held")
+    level, rounds = whole(texts.where("deep")), 0
+    while not level.isEmpty():
+        values = tables.put(f"values{rounds}", opened(level))
+        # a container that is still held is given by the round that opens it
+        found = found.unionByName(values.where("held is null").drop("held"))
+        level, rounds = values.where("held is not null"), rounds + 1
+    return found.withColumnRenamed("_doc", key)
 
 
 def profile(docs: DataFrame, doc: str) -> DataFrame:

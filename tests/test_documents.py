@@ -45,6 +45,20 @@ def test_values_at_every_depth(spark):
     assert documents.flatten(df.limit(0), "doc", "key").count() == 0
 
 
+def test_levels_of_a_document_are_opened_in_one_pass(spark, monkeypatch):
+    """No table for each level of documents of up to LEVELS levels, and one for each so many of deeper ones; brackets in texts are none."""
+    put, names = documents.Tables.put, []
+    monkeypatch.setattr(documents.Tables, "put", lambda self, name, df: names.append(name) or put(self, name, df))
+    deep = lambda n: json.dumps(eval("[" * n + "{'a': '[[{'}" + "]" * n))
+    odd = json.dumps({"a\\": ["\\", "\"[[[[[[[[[{{{", {"b": "]}\\\""}]})
+    for docs, tables in (([deep(5), odd, "[]", None], ["texts"]), ([deep(5), deep(6), deep(19), odd, "{no"], ["texts", "values0", "values1", "values2", "values3"])):
+        names.clear()
+        got = sorted(repr((r["key"], tuple(r["path"]), tuple(r["at"]), r["kind"], r["text"])) for r in documents.flatten(spark.createDataFrame(list(enumerate(docs)), "key long, doc string"), "doc", "key").collect())
+        want = [(i, *v) for i, d in enumerate(docs) for v in ([((), (), "invalid", None)] if d in ("{no", None) else walk(json.loads(d)))]
+        assert got == sorted(repr(w) for w in want)
+        assert names == tables
+
+
 def test_fields_of_ragged_rows(spark):
     docs = ['{"a":1,"b":null,"c":""}', '{"a":"x","c":[],"d":{}}', '{"a":[{"k":1},{"k":2}],"d":{"e":[]}}', '{"a":[1,2]}', "[1]", "7", None, "nope"]
     got = [tuple(r) for r in documents.profile(spark.createDataFrame([(d, 1) for d in docs], "json string, field int"), "json").collect()]
