@@ -74,6 +74,8 @@ class Linked:
 def ends(tables: list[Table], bits: dict[str, int]) -> DataFrame:
     """(kind, source, source_key, target, target_key, mask): a row for each listed node, with its mask, and for each edge, each table scanned once."""
     text, none = (lambda c: C(c).cast("string")), F.lit(None).cast("string")
+    what = list(dict.fromkeys([(None, label, None) for t in tables for label in t.nodes] + [(k.name, k.source[0], k.target[0]) for t in tables for k in t.kinds]))
+    number = {w: F.lit(i).alias("what") for i, w in enumerate(what)}
     out = None
     for t in tables:
         rows = []
@@ -81,13 +83,16 @@ def ends(tables: list[Table], bits: dict[str, int]) -> DataFrame:
             mask = F.lit(1).cast("long")
             if label in t.core:
                 mask = mask + F.when(t.core[label], bits[CORE]).otherwise(0)
-            rows.append(F.when(C(column).isNotNull(), F.struct(none.alias("kind"), F.lit(label).alias("source"), text(column).alias("source_key"), none.alias("target"), none.alias("target_key"), mask.alias("mask"))))
+            rows.append(F.when(C(column).isNotNull(), F.struct(number[None, label, None], text(column).alias("source_key"), none.alias("target_key"), mask.alias("mask"))))
         for k in t.kinds:
-            edge = F.struct(F.lit(k.name).alias("kind"), F.lit(k.source[0]).alias("source"), text(k.source[1]).alias("source_key"), F.lit(k.target[0]).alias("target"), text(k.target[1]).alias("target_key"), F.lit(0).cast("long").alias("mask"))
+            edge = F.struct(number[k.name, k.source[0], k.target[0]], text(k.source[1]).alias("source_key"), text(k.target[1]).alias("target_key"), F.lit(0).cast("long").alias("mask"))
             rows.append(edge if k.where is None else F.when(k.where, edge))
         one = t.rows.select(F.inline(F.filter(F.array(*rows), lambda r: r.isNotNull())))
         out = one if out is None else out.unionByName(one)
-    return out.groupBy("kind", "source", "source_key", "target", "target_key").agg(F.bit_or("mask").alias("mask"))
+    # kinds and labels are grouped and shuffled by their number, and named after that
+    each = out.groupBy("what", "source_key", "target_key").agg(F.bit_or("mask").alias("mask"))
+    named = lambda i: F.element_at(F.array(*(F.lit(w[i]).cast("string") for w in what)), C("what") + 1)
+    return each.select(named(0).alias("kind"), named(1).alias("source"), "source_key", named(2).alias("target"), "target_key", "mask")
 
 
 def audit(tables: list[Table], rules: list[Nodes | Edges | Linked]) -> DataFrame:

@@ -122,3 +122,15 @@ def test_output_that_fails_its_checks_does_not_stay(spark, rows, tmp_path, error
 def test_checked_output_of_no_rows(spark, rows, tmp_path):
     found = checked.write(rows.limit(0), f"{tmp_path}/none", all_checks())
     assert found["rows"] == found["tier=low"] == 0 and found["value"] is None
+
+
+def test_ends_are_shuffled_by_number(spark):
+    """Rows that are shuffled have no text but their keys; kinds and labels come back after that, and nodes and edges of the same keys stay apart."""
+    rows = spark.createDataFrame([(1, 1), (1, 1), (2, None), (None, 2)], "a int, b int")
+    kinds = (Kind("p", ("x", "a"), ("y", "b")), Kind("q", ("y", "b"), ("x", "a"), F.col("b").isNotNull()))
+    got = masks.ends([Table(rows, {"x": "a", "y": "b"}, kinds, {"x": F.col("a") == 1})], {"core": 2, "p": 4, "q": 8})
+    assert "hashpartitioning(what#" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(repr, map(tuple, got.select("kind", "source", "source_key", "target", "target_key", "mask").collect()))) == sorted(map(repr, [
+        (None, "x", "1", None, None, 3), (None, "x", "2", None, None, 1), (None, "y", "1", None, None, 1), (None, "y", "2", None, None, 1),
+        ("p", "x", "1", "y", "1", 0), ("p", "x", "2", "y", None, 0), ("p", "x", None, "y", "2", 0), ("q", "y", "1", "x", "1", 0), ("q", "y", "2", "x", None, 0),
+    ]))
