@@ -23,6 +23,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,11 +44,22 @@ END_ID = 2
 MOST_IDS = 1 << 16
 #: Runs of text that a worker remembers the ids of, about 200 MB
 _REMEMBER = 1 << 20
-#: Runs of text that are looked up together, or those of one text
-_RUNS = 1 << 17
+#: About so many runs of text, of eight bytes each, are looked up together
+_RUNS = 1 << 19
+_GAPS = re.compile(rb"[ \t-\r]")
 _MARK = "\x1f"
 #: A run of Latin letters (but U+0130, whose lower case has a mark), then ASCII punctuation (no apostrophe, which may start a suffix)
-_WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!#$%&*+,./:;<=>?@^_|~-]*)")
+_WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u023f]+)([!#$%&*+,./:;<=>?@^_|~-]*)")
+#: Kinds of bytes: ASCII white space, of the letters of ``_WORD`` (U+00D7 and U+00F7 too), its punctuation, others
+_GAP, _LETTER, _TAIL, _ODD = range(4)
+#: Words of these letters are as they are under the normaliser
+_SMALL = re.compile(b"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: The letter that stands for each byte in a byte-level model: itself if it prints, else the next one from U+0100 on
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+_KINDS = np.full(256, _ODD, np.uint8)
+for _bytes, _kind in ((b" \t\n\v\f\r", _GAP), (bytes([*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xC9)]), _LETTER), (b"!#$%&*+,./:;<=>?@^_|~-", _TAIL)):
+    _KINDS[list(_bytes)] = _kind
 #: Fixed value: the pre-tokens under which a run can be looked up in parts
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _TABLE_BITS = 10
@@ -157,18 +169,18 @@ class _Model:
         self.first, self.any_first = _Sums(lanes * 16, _FIRST, 16, one, 0), _Sums(lanes, _FIRST, 16, one, 1)
         self.middle = _Sums(lanes * 8, _MIDDLE, _MIDDLE + 1, (1 << int(_MIDDLE_BITS)) - _MIDDLE, 1)
         self.before1, self.before2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-        self.lanes = np.arange(lanes)
+        self.tables, self.firsts, self.middles = (np.arange(lanes) * n for n in (_TABLE, 16, 8))
 
     def step(self, coder: _Range, m: int, t: int, ids: np.ndarray | None) -> np.ndarray:
         """Codes id t of each of the first m lanes; ids None reads them."""
-        lanes, some = self.lanes[:m], slice(0, m)
+        tables, some = self.tables[:m], slice(0, m)
         slow, quick = (min(max(t.bit_length() - back, 2), 6) for back in (2, 4))  # less is learned from each id as more are known
         b1, b2 = self.before1[:m], self.before2[:m]
-        slot1 = lanes * _TABLE + ((b1 * np.uint32(0x9E3779B1)) >> np.uint32(32 - _TABLE_BITS))
-        slot2 = lanes * _TABLE + (((b1 * np.uint32(0x85EBCA6B)) ^ (b2 * np.uint32(0xC2B2AE35))) >> np.uint32(32 - _TABLE_BITS))
+        slot1 = tables + ((b1 * np.uint32(0x9E3779B1)) >> np.uint32(32 - _TABLE_BITS))
+        slot2 = tables + (((b1 * np.uint32(0x85EBCA6B)) ^ (b2 * np.uint32(0xC2B2AE35))) >> np.uint32(32 - _TABLE_BITS))
         e1, e2 = self.after1.take(slot1), self.after2.take(slot2)
         p1, p2 = e1 >> np.uint32(2), e2 >> np.uint32(2)
-        known = lanes * 16 + ((e2 & np.uint32(3)) * np.uint32(4) + (e1 & np.uint32(3)))
+        known = self.firsts[:m] + ((e2 & np.uint32(3)) * np.uint32(4) + (e1 & np.uint32(3)))
         seen, any_seen = self.first.upto.take(known, axis=0), self.any_first.upto[:m]
         mixed = (seen + any_seen).view(np.uint16)
         share = coder.share(some, _FIRST_BITS)
@@ -185,7 +197,7 @@ class _Model:
             # the middle part and, inside its share, the low byte
             x = None if ids is None else ids[new].astype(np.int64)
             upper = first[new] - 2
-            context = new * 8 + upper
+            context = self.middles.take(new) + upper
             seen = self.middle.upto.take(context, axis=0)
             upto = seen.view(np.uint16)
             share = coder.share(new, _MIDDLE_BITS + _U8)
@@ -197,13 +209,18 @@ class _Model:
             self.middle.learn(context, seen, middle, slow)
             if x is None:
                 out[new] = upper << 13 | middle << 8 | low.astype(np.int64)
+        fresh = out.astype(np.uint32) << np.uint32(2)
         for table, slot, entry in ((self.after1, slot1, e1), (self.after2, slot2, e2)):
-            right = entry >> np.uint32(2) == out
-            table[slot] = np.where(right, np.minimum(entry + np.uint32(1), entry | np.uint32(3)), out << np.uint32(2))
+            table[slot] = np.where(entry & ~np.uint32(3) == fresh, np.minimum(entry + np.uint32(1), entry | np.uint32(3)), fresh)
         self.before2[:m], self.before1[:m] = b1.copy(), out
         return out
 
 
+def _left(n: np.ndarray) -> list[int]:
+    """How many lanes have an id for each step, of lanes with ``n`` ids in falling order."""
+    return np.searchsorted(-n, -np.arange(int(n[0])), "left").tolist()
+
+
 def encode_blocks(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     """Payload of each block; block i has the next ``sizes[i]`` of the ids. Ids of ``MOST_IDS`` and more are an error."""
     if len(ids) and int(ids.max()) >= MOST_IDS:
@@ -215,9 +232,12 @@ def encode_blocks(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         lanes = order[at : at + LANES]
         n = sizes[lanes]
         coder, model = _Range(len(lanes), 2 * int(n[0]) + 16), _Model(len(lanes))
-        for t in range(int(n[0])):
-            m = int(np.searchsorted(-n, -t, "left"))
-            model.step(coder, m, t, ids[begin[lanes[:m]] + t].astype(np.uint32))
+        steps = np.zeros((len(lanes), int(n[0])), np.uint32)
+        for row, i, k in zip(steps, begin[lanes].tolist(), n.tolist()):
+            row[:k] = ids[i : i + k]
+        steps = np.ascontiguousarray(steps.T)
+        for t, m in enumerate(_left(n)):
+            model.step(coder, m, t, steps[t, :m])
         for lane, data in zip(lanes.tolist(), coder.finish()):
             out[lane] = data
     return out
@@ -234,9 +254,11 @@ def decode_blocks(payloads: list[bytes], sizes: np.ndarray) -> np.ndarray:
         room = max(len(payloads[i]) for i in lanes.tolist()) + 16 & ~3
         data = np.frombuffer(b"".join(payloads[i].ljust(room, b"\0") for i in lanes.tolist()), "<u4")
         coder, model = _Range(len(lanes), room // 4, data), _Model(len(lanes))
-        for t in range(int(n[0])):
-            m = int(np.searchsorted(-n, -t, "left"))
-            out[begin[lanes[:m]] + t] = model.step(coder, m, t, None)
+        steps = np.zeros((int(n[0]), len(lanes)), np.uint32)
+        for t, m in enumerate(_left(n)):
+            steps[t, :m] = model.step(coder, m, t, None)
+        for row, i, k in zip(np.ascontiguousarray(steps.T), begin[lanes].tolist(), n.tolist()):
+            out[i : i + k] = row[:k]
     return out
 
 
@@ -259,6 +281,7 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.model = self.tokenizer.model  # kept, as each access makes one anew
         self.seen: dict[bytes, bytes] = {}
         mark = self._ids([_MARK])[0]
         self.mark = mark[0] if len(mark) == 1 else None
@@ -283,6 +306,8 @@ class TextEncoder:
         low = [w.encode().lower().decode() for w in words]
         if self._ids(words) != self._ids(low):
             return False
+        if any(self._word(w.encode()) != np.array(ids, np.uint32).tobytes() for w, ids in zip(low, self._ids(low)) if _SMALL.fullmatch(w.encode())):
+            return False
         end = self._ids(tails)
         return all(self._ids([w + t for t in tails]) == [ids + e for e in end] for w, ids in zip(words, self._ids(low)))
 
@@ -290,19 +315,19 @@ class TextEncoder:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, runs: list[bytes]) -> None:
-        """Looks up new runs, those of a word and punctuation by these."""
-        if not self.worded:
-            return self._library(runs)
-        parts, rest = [], []
-        for r in runs:
-            m = _WORD.fullmatch(r.decode())
-            if m:
-                parts.append((r, m[1].encode().lower(), m[2].encode()))
-            else:
-                rest.append(r)
-        rest += [p for p in {p for _, word, tail in parts for p in (word, tail)} - set(rest) if p not in self.seen]
+        """Ids of new runs: words in lower case are a pre-token each, so the model alone has them."""
+        rest = runs
+        if self.worded:
+            rest = []
+            for r in runs:
+                if _SMALL.fullmatch(r):
+                    self.seen[r] = self._word(r)
+                else:
+                    rest.append(r)
         self._library(rest)
-        self.seen.update([(r, self.seen[word] + self.seen[tail]) for r, word, tail in parts])
+
+    def _word(self, word: bytes) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(word.decode("latin-1").translate(_BYTES))]).tobytes()
 
     def _library(self, runs: list[bytes]) -> None:
         """Ids by the library: of many runs in one text, with a mark between that no other run gives."""
@@ -319,32 +344,75 @@ class TextEncoder:
             flat = ids.tobytes()
             self.seen.update((r, flat[4 * i + 4 : 4 * j]) for r, i, j in zip(part, cuts[:-1].tolist(), cuts[1:].tolist()))
 
-    def _look_up(self, held: list[list[bytes]], end: bytes) -> list[bytes]:
-        """Ids of each text, given as its runs."""
-        new = list(set().union(*held).difference(self.seen))
-        if len(self.seen) + len(new) > _REMEMBER:
-            self.seen.clear()
-            new = list(set().union(*held))
-        self._learn(new)
-        return [b"".join(map(self.seen.__getitem__, runs)) + end for runs in held]
+    def _tokens(self, data: np.ndarray) -> tuple[np.ndarray, pa.BinaryArray]:
+        """Where the runs of some text begin, those of a word and punctuation as two, and their bytes, such words in lower case."""
+        kind = _KINDS.take(data)
+        lead = np.flatnonzero((data == 0xC3) | (data == 0xC4))
+        lead, after = lead[:-1] if len(lead) and lead[-1] == len(data) - 1 else lead, data.take(lead + 1, mode="clip")
+        kind[lead[np.isin(data[lead].astype(np.int32) << 8 | after[: len(lead)], (0xC397, 0xC3B7, 0xC4B0))]] = _ODD
+        inside = kind != _GAP
+        edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        first, end = edge[::2], edge[1::2]
+        if self.worded:
+            before = np.concatenate([[_GAP], kind[:-1]]).astype(np.uint8)
+            odd = kind[first] != _LETTER
+            odd[np.searchsorted(first, np.flatnonzero((kind == _ODD) | (kind == _LETTER) & (before == _TAIL)), "right") - 1] = True
+            run = lambda at: np.searchsorted(first, at, "right") - 1
+            tail = np.flatnonzero((kind == _TAIL) & (before == _LETTER))
+            tail = tail[~odd[run(tail)]]
+            upper = np.flatnonzero(data - np.uint8(65) < 26)
+            data = data.copy()
+            data[upper[~odd[run(upper)]]] += 32
+            begins, ends = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
+            begins[first] = begins[tail] = ends[end] = ends[tail] = True
+            first, end = np.flatnonzero(begins), np.flatnonzero(ends)
+        offsets = np.concatenate([[0], np.cumsum(end - first)]).astype(np.int32)
+        return first, pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
+
+    def _look_up(self, runs: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs end to end, and how many ids are before each run and in all."""
+        held = runs.dictionary_encode()
+        _, offsets, data = held.dictionary.buffers()
+        cuts, data = np.frombuffer(offsets, np.int32)[: len(held.dictionary) + 1].tolist(), bytes(data or b"")
+        words = [data[i:j] for i, j in zip(cuts, cuts[1:])]
+        found = list(map(self.seen.get, words))
+        new = [w for w, ids in zip(words, found) if ids is None]
+        if new:
+            if len(self.seen) + len(new) > _REMEMBER:
+                self.seen.clear()
+            self._learn(new)
+            found = [self.seen[w] if ids is None else ids for w, ids in zip(words, found)]
+        n = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        which = held.indices.to_numpy()
+        upto = np.concatenate([[0], np.cumsum(n.take(which))])
+        place = np.repeat((np.cumsum(n) - n).take(which) - upto[:-1], np.diff(upto))
+        place += np.arange(len(place))
+        return np.frombuffer(b"".join(found), np.uint32).take(place), upto
 
     def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, ``end_id`` after each, and how many each has."""
-        end = np.array([end_id], np.uint32).tobytes()
         if not self.parted:
+            end = np.array([end_id], np.uint32).tobytes()
             found = [np.array(ids, np.uint32).tobytes() + end for ids in self._ids([t or "" for t in texts])]
-        else:
-            found = []
-            held, have = [], 0
-            for t in texts:
-                held.append((t or "").encode().split())
-                have += len(held[-1])
-                if have > _RUNS:
-                    found += self._look_up(held, end)
-                    held, have = [], 0
-            found += self._look_up(held, end)
-        n = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        return np.frombuffer(b"".join(found), np.uint32), n
+            n = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            return np.frombuffer(b"".join(found), np.uint32), n
+        held = [(t or "").encode() for t in texts]
+        text_ends = np.cumsum(np.fromiter(map(len, held), np.int64, len(held)) + 1)
+        whole = b"\n".join([*held, b""])
+        ids, ends, have, at = [], [], 0, 0
+        while at < len(whole):  # in pieces that end at white space, whatever the length of a text
+            gap = _GAPS.search(whole, at + 8 * _RUNS)
+            to = gap.end() if gap else len(whole)
+            first, runs = self._tokens(np.frombuffer(whole, np.uint8, to - at, at))
+            some, upto = self._look_up(runs)
+            here = text_ends[np.searchsorted(text_ends, at, "right") : np.searchsorted(text_ends, to, "right")] - at
+            ends.append(have + upto[np.searchsorted(first, here)])
+            ids.append(some)
+            have, at = have + len(some), to
+        if not ids:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        ends = np.concatenate(ends)
+        return np.insert(np.concatenate(ids), ends, np.uint32(end_id)), np.diff(ends, prepend=0) + 1
 
 
 def _declared(spec: dict) -> bool:
@@ -410,8 +478,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, id_col: str =
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard] * len(rows), pa.int32()), "local_start": pa.array(firsts, pa.int64()), "n_ids": pa.array([int(total[b] - total[a]) for a, b in rows], pa.int64()), "docs": pa.array(docs_out, _docs(arrow)), "blocks": pa.array(blocks_out, _BLOCKS)})
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 ids, n = encoder.encode(part.column("text").to_pylist(), end_id)
                 names += part.column("id").to_pylist()
                 held.append(ids)

@@ -511,6 +511,19 @@ def test_looked_up_runs_give_the_ids_of_whole_texts(monkeypatch):
     assert ids.tolist() == [*whole.tokenizer.encode("a  b c", add_special_tokens=False).ids, 2, 2]
 
 
+def test_a_word_is_encoded_once_whatever_its_case_and_punctuation(monkeypatch):
+    """Words go to the model alone, once; only other runs go through the library's normaliser and pre-tokens."""
+    encoder = token_files.TextEncoder(open(public_tokenizers.path("word_bpe_49k.json")).read())
+    asked, library = [], encoder._library
+    monkeypatch.setattr(encoder, "_library", lambda runs: (asked.extend(runs), library(runs)))
+    texts = ["Word word. WORD!", "tr\u00e8s Tr\u00e8s, \u00f0\u00df\u00ed\u00ff don't x9", None, "\t", "word\n" * 9]
+    ids, n = encoder.encode(texts, 2)
+    expected = [[*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert n.tolist() == list(map(len, expected)) and ids.tolist() == [i for e in expected for i in e]
+    assert set(encoder.seen) == {b"word", b".", b"!", "tr\u00e8s".encode(), b",", "\u00f0\u00df\u00ed\u00ff".encode(), b"don't", b"x9"}
+    assert sorted(asked) == [b"!", b",", b".", b"don't", b"x9"]
+
+
 def test_words_and_punctuation_give_the_ids_of_whole_runs():
     source = open(public_tokenizers.path("word_bpe_49k.json")).read()
     pick = random.Random(6)
