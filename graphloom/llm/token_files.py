@@ -60,6 +60,7 @@ _BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SH
 _KINDS = np.full(256, _ODD, np.uint8)
 for _bytes, _kind in ((b" \t\n\v\f\r", _GAP), (bytes([*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xC9)]), _LETTER), (b"!#$%&*+,./:;<=>?@^_|~-", _TAIL)):
     _KINDS[list(_bytes)] = _kind
+_KINDS = _KINDS.tobytes()
 #: Fixed value: the pre-tokens under which a run can be looked up in parts
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _TABLE_BITS = 10
@@ -266,8 +267,9 @@ class TextEncoder:
     """Ids of whole texts from a tokenizer file, with an end id after each.
 
     The tokenizers library encodes every run of characters between ASCII white
-    space; runs that come again are looked up. A new run of letters and
-    punctuation behind them is looked up as those two, in lower case. Both give
+    space; runs that come again are looked up. A run of letters and punctuation
+    behind them is looked up as those two, in lower case, and new words of
+    ``_SMALL`` letters are encoded by the tokenizer's model alone. All give
     the ids of the whole text for a tokenizer whose file declares what follows:
     NFC, white space as spaces, lower case; pre-tokens of letters or of
     punctuation, never of white space; a byte-level model that merges inside a
@@ -320,14 +322,15 @@ class TextEncoder:
         if self.worded:
             rest = []
             for r in runs:
-                if _SMALL.fullmatch(r):
+                if r.isalpha() and r.islower() or _SMALL.fullmatch(r):  # most are ASCII, as these methods of bytes ask
                     self.seen[r] = self._word(r)
                 else:
                     rest.append(r)
         self._library(rest)
 
     def _word(self, word: bytes) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(word.decode("latin-1").translate(_BYTES))]).tobytes()
+        shown = word.decode("latin-1")
+        return array("I", [t.id for t in self.model.tokenize(shown if word.isascii() else shown.translate(_BYTES))]).tobytes()
 
     def _library(self, runs: list[bytes]) -> None:
         """Ids by the library: of many runs in one text, with a mark between that no other run gives."""
@@ -344,9 +347,9 @@ class TextEncoder:
             flat = ids.tobytes()
             self.seen.update((r, flat[4 * i + 4 : 4 * j]) for r, i, j in zip(part, cuts[:-1].tolist(), cuts[1:].tolist()))
 
-    def _tokens(self, data: np.ndarray) -> tuple[np.ndarray, pa.BinaryArray]:
+    def _tokens(self, text: bytes) -> tuple[np.ndarray, pa.BinaryArray]:
         """Where the runs of some text begin, those of a word and punctuation as two, and their bytes, such words in lower case."""
-        kind = _KINDS.take(data)
+        data, kind = np.frombuffer(text, np.uint8), np.frombuffer(bytearray(text.translate(_KINDS)), np.uint8)
         lead = np.flatnonzero((data == 0xC3) | (data == 0xC4))
         lead, after = lead[:-1] if len(lead) and lead[-1] == len(data) - 1 else lead, data.take(lead + 1, mode="clip")
         kind[lead[np.isin(data[lead].astype(np.int32) << 8 | after[: len(lead)], (0xC397, 0xC3B7, 0xC4B0))]] = _ODD
@@ -354,7 +357,8 @@ class TextEncoder:
         edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
         first, end = edge[::2], edge[1::2]
         if self.worded:
-            before = np.concatenate([[_GAP], kind[:-1]]).astype(np.uint8)
+            before = np.empty_like(kind)
+            before[0], before[1:] = _GAP, kind[:-1]
             odd = kind[first] != _LETTER
             odd[np.searchsorted(first, np.flatnonzero((kind == _ODD) | (kind == _LETTER) & (before == _TAIL)), "right") - 1] = True
             run = lambda at: np.searchsorted(first, at, "right") - 1
@@ -403,7 +407,7 @@ class TextEncoder:
         while at < len(whole):  # in pieces that end at white space, whatever the length of a text
             gap = _GAPS.search(whole, at + 8 * _RUNS)
             to = gap.end() if gap else len(whole)
-            first, runs = self._tokens(np.frombuffer(whole, np.uint8, to - at, at))
+            first, runs = self._tokens(whole[at:to])
             some, upto = self._look_up(runs)
             here = text_ends[np.searchsorted(text_ends, at, "right") : np.searchsorted(text_ends, to, "right")] - at
             ends.append(have + upto[np.searchsorted(first, here)])
