@@ -354,6 +354,21 @@ def test_links_of_lines_that_share_one_sentence_with_many(spark, monkeypatch, bl
     assert got == {i: "" if i % 2 else t for i, t in rows}
 
 
+def test_links_of_very_long_lines_and_of_one_shared_segment(spark):
+    """Lines of some 1,700 characters link by a twentieth, up to 85 edits; lines of seventeen segments that share only one link too."""
+    rnd = random.Random(16)
+    sentence = lambda: " ".join("".join(rnd.choices("bcdfghjklmpqvwxyz", k=5)) for _ in range(6))
+    rows, within = [], []
+    for n_sentences, changed, each in ((48, 20, 2), (48, 26, 3), (48, 24, 4), (17, 16, 1)):
+        sentences = [sentence() for _ in range(n_sentences)]
+        other = [s if j >= changed else "#" * each + s[each:] for j, s in enumerate(sentences)]
+        rows += [(len(rows), ". ".join(sentences)), (len(rows) + 1, ". ".join(other))]
+        within.append(20 * edits(rows[-1][1], rows[-2][1]) <= max(len(rows[-1][1]), len(rows[-2][1])))
+    got = {r.doc_id: r.text for r in line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert within == [True, True, False, True]
+    assert got == {i: "" if i % 2 and within[i // 2] else t for i, t in rows}
+
+
 def test_short_rests_of_two_edits_in_a_large_group(spark):
     rnd = random.Random(15)
     ends = rnd.sample([a + b + c for a in "abcdefgh" for b in "ijklmnop" for c in "qrstuvw"], 60)
