@@ -369,6 +369,27 @@ def test_links_of_very_long_lines_and_of_one_shared_segment(spark):
     assert got == {i: "" if i % 2 and within[i // 2] else t for i, t in rows}
 
 
+def test_pivots_leave_out_pairs_and_no_link(spark, monkeypatch):
+    """Near copies of one line, some at their limit: every link is among the pairs left, each pair is there once, and a pivot leaves fewer."""
+    rnd = random.Random(17)
+    words, lines = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(40)], []
+    for i in range(24):
+        changed = rnd.sample(range(40), rnd.choice([1, 1, 2, 6, 8]))
+        lines.append(" ".join("#" * 4 + chr(65 + i) if j in changed else w for j, w in enumerate(words)))
+    rows = spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(lines)], "h1 bigint, line string, n int")
+    counted = [" | ".join(f"shiftleft(bigint(length(line) - length(replace(line, '{c}', ''))), {8 * i})" for i, c in enumerate(some)) for some in line_dedup.COUNTED]
+    near = rows.selectExpr("h1", "n", "true as home", *(f"{x} as counted{i}" for i, x in enumerate(counted)), "explode(array(7L, 8L)) as grp")
+    tables, pairs = line_dedup.Tables(spark), []
+    for pivot_from in (2, 25):
+        monkeypatch.setattr(line_dedup, "PIVOT_FROM", pivot_from)
+        apart = line_dedup._apart(near, spark.createDataFrame([], "id bigint, root bigint"), tables)
+        others = line_dedup._met_in_large_groups(apart, rows.select("h1", "line"), tables).collect()
+        pairs.append({(r.a, r.b) for r in others})
+        assert len(others) == len(pairs[-1]) and all(r.shared == 1 for r in others)
+    links = {(i, j) for j in range(24) for i in range(j) if 20 * edits(lines[i], lines[j]) <= len(lines[i])}
+    assert links and links <= pairs[0] < pairs[1]
+
+
 def test_short_rests_of_two_edits_in_a_large_group(spark):
     rnd = random.Random(15)
     ends = rnd.sample([a + b + c for a in "abcdefgh" for b in "ijklmnop" for c in "qrstuvw"], 60)
